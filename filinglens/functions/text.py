@@ -214,6 +214,12 @@ def fold_listed_role(c: Column | str, vice: bool = True) -> Column:
     return out.otherwise("member")
 
 
+def title_case(c: Column | str) -> Column:
+    """Capital after every non-letter ("O'Neil-Smith"), lower case elsewhere."""
+    marked = F.regexp_replace(F.lower(_col(c)), r"([^\p{L}\s])", "$1\u0001 ")
+    return F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
+
+
 def chamber_of(c: Column | str, default: str | None) -> Column:
     text = F.lower(F.coalesce(_col(c), F.lit("")))
     return F.when(text.contains("senate"), "senate").when(text.contains("house"), "house").otherwise(F.lit(default))

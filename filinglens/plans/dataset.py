@@ -11,3 +11,8 @@ def trade_member(trades: DataFrame, members: DataFrame) -> DataFrame:
         F.col("bioguide_id").alias("member_bioguide_id"), "party", F.col("chamber").alias("member_chamber"),
         "nominate_dim1", "nominate_dim2", "first_elected")
     return trades.withColumnRenamed("chamber", "trade_chamber").join(m, "member_bioguide_id", "left")
+
+
+def cap_oldest(trades: DataFrame, n: int) -> DataFrame:
+    """The n oldest trades (the size cap of a training set)."""
+    return trades.orderBy("transaction_date", "trade_id").limit(n)
