@@ -178,7 +178,7 @@ FILED = {"filed": """SELECT trade_id AS doc_id, member_name, 'u' || trade_id AS
     strftime(transaction_date, '%m/%d/%Y') AS transaction_date_str,
     strftime(coalesce(disclosure_date, transaction_date), '%m/%d/%Y') AS disclosure_date_str,
     CASE WHEN trade_id % 5 = 0 THEN '$50,000,001+' ELSE '$15,001 - $50,000' END AS amount_str,
-    CASE WHEN trade_id % 3 = 2 THEN 'Spouse' ELSE 'Self' END AS owner, 'AL0' || (trade_id % 7) AS state_district,
+    CASE WHEN trade_id % 3 = 2 THEN 'Spouse' WHEN trade_id % 1000 = 32 THEN 'Dependent' ELSE 'Self' END AS owner, 'AL0' || (trade_id % 7) AS state_district,
     transaction_date, coalesce(disclosure_date, transaction_date) AS disclosure_date FROM trades"""}
 
 
