@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.features import signal_scores
@@ -199,16 +199,35 @@ def match_alerts(signals: DataFrame, configs: DataFrame) -> DataFrame:
         & allowed("members", "member_bioguide_id")).drop("_kind")
 
 
+def quiet_segments(matches: DataFrame, window_seconds: int, buckets: int = 6) -> DataFrame:
+    """Adds _segment: stretches of a configuration parted by a full quiet window.
+
+    Times are summed up per bucket (a fraction of the window), so the ordered
+    window sees one row per configuration and bucket, never the matches.
+    """
+    width = window_seconds // buckets
+    bucket = F.floor(F.unix_seconds("created_at") / width)
+    spans = matches.groupBy("config_id", bucket.alias("_bucket")).agg(
+        F.min("created_at").alias("lo"), F.max("created_at").alias("hi"))
+    w = Window.partitionBy("config_id").orderBy("_bucket")
+    quiet = F.unix_micros("lo") - F.unix_micros(F.lag("hi").over(w)) >= window_seconds * 1000000
+    starts = F.coalesce(quiet.cast("int"), F.lit(0))
+    cut = spans.withColumn("_start", starts).select(
+        "config_id", "_bucket", F.sum("_start").over(w).alias("_segment"))
+    return matches.withColumn("_bucket", bucket).join(cut, ["config_id", "_bucket"]).drop("_bucket")
+
+
 def rate_limit(matches: DataFrame, n: int = K.ALERTS_PER_HOUR, window_seconds: int = 3600) -> DataFrame:
     """Matches let through: at most n per configuration in any sliding window.
 
-    What is let through depends on what was let through before, so a
-    configuration's matches are walked in time order, in Arrow batches whose
-    only state is the last n dispatch times. A configuration's matches are not
-    gathered in memory: they arrive sorted within their partition.
+    What is let through depends on what was let through before, so matches are
+    walked in time order, in sorted Arrow batches whose only state is the last n
+    dispatch times. After a quiet window nothing is remembered, so a busy
+    configuration is cut there and its stretches are walked in parallel.
     """
-    columns = ["config_id", "signal_id", "created_at"]
-    slim = matches.select(*columns).repartition("config_id").sortWithinPartitions(*columns[::2], "signal_id")
+    columns = ["config_id", "_segment", "created_at", "signal_id"]
+    slim = quiet_segments(matches.select("config_id", "created_at", "signal_id"), window_seconds)
+    slim = slim.select(*columns).repartition("config_id", "_segment").sortWithinPartitions(*columns)
 
     def walk(batches):
         from collections import deque
@@ -216,13 +235,13 @@ def rate_limit(matches: DataFrame, n: int = K.ALERTS_PER_HOUR, window_seconds: i
         import numpy as np
         import pandas as pd
 
-        config, sent = None, deque(maxlen=n)
+        current, sent = None, deque(maxlen=n)
         span = pd.Timedelta(seconds=window_seconds)
         for batch in batches:
             keep = np.zeros(len(batch), dtype=bool)
-            for i, (cid, at) in enumerate(zip(batch["config_id"], batch["created_at"])):
-                if cid != config:
-                    config = cid
+            for i, (cid, part, at) in enumerate(zip(batch["config_id"], batch["_segment"], batch["created_at"])):
+                if (cid, part) != current:
+                    current = (cid, part)
                     sent.clear()
                 if len(sent) < n or sent[0] <= at - span:
                     sent.append(at)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_joins, catalog_links, catalog_reads, catalog_sources  # noqa: F401
+from . import (  # noqa: F401
+    catalog_graph, catalog_joins, catalog_learning, catalog_links, catalog_reads, catalog_sources, catalog_streams,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

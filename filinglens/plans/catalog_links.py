@@ -361,8 +361,9 @@ NAMED = {
         SELECT replace(lower(p_name), 'cold', 'ld') AS base, p_partkey % 3 AS k,
           array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS cap FROM part)""",
 }
-OVERRIDE_SQL = """CASE WHEN contains(normal, 'red widget') THEN 'OV1' WHEN contains(normal, 'gear') THEN 'OV2'
-    WHEN contains(normal, 'old') THEN 'OV3' END"""
+OVERRIDE_SQL = """CASE WHEN contains(normal || '|' || lower(name), 'red widget') THEN 'OV1'
+    WHEN contains(normal || '|' || lower(name), 'gear') THEN 'OV2'
+    WHEN contains(normal || '|' || lower(name), 'old') THEN 'OV3' END"""
 
 
 @query("e02_match_override", f"""SELECT name, {OVERRIDE_SQL} AS ticker, {R('0.99')} AS confidence, 'manual' AS method FROM named

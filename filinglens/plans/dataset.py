@@ -2,8 +2,36 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, functions as F
 
+from .. import constants as K
+from ..functions import features as X
+from ..operators import asof, dayrange, history, indicators
+from ..session import durable
+from . import stats
+
+
+def trainable_trades(
+    trades: DataFrame, as_of: date, horizon: str = "180d", etfs: list[str] | None = None, since: str = K.TRAINING_START,
+    keep_untyped: bool = False,
+) -> DataFrame:
+    """Single-stock trades old enough to have an outcome.
+
+    A name that looks like an option drops the row, and so does a missing asset
+    name or, unless ``keep_untyped``, a missing asset type.
+    """
+    cutoff = as_of - timedelta(days=K.HORIZON_BUFFER_DAYS[horizon])
+    cond = (
+        (F.col("ticker") != "") & (F.col("transaction_date") >= F.lit(since).cast("date"))
+        & (F.col("transaction_date") <= F.lit(cutoff)) & ~F.col("ticker").isin(list(etfs or K.EXCLUDED_ETFS)))
+    for pattern in K.OPTION_NAME_PATTERNS:
+        cond = cond & ~F.col("asset_name").ilike(pattern)
+    plain = ~F.col("asset_type").ilike(K.OPTION_TYPE_PATTERN)
+    return trades.filter(cond & (F.coalesce(plain, F.lit(True)) if keep_untyped else plain))
+
 
 def trade_member(trades: DataFrame, members: DataFrame) -> DataFrame:
     """Trades with the attributes of their member, where known."""
@@ -16,3 +44,154 @@ def trade_member(trades: DataFrame, members: DataFrame) -> DataFrame:
 def cap_oldest(trades: DataFrame, n: int) -> DataFrame:
     """The n oldest trades (the size cap of a training set)."""
     return trades.orderBy("transaction_date", "trade_id").limit(n)
+
+
+def labelled(trades: DataFrame, prices: DataFrame, horizon: str = "180d") -> DataFrame:
+    """Base and future price, returns and label; rows without label dropped."""
+    points = asof.nth_price_after(trades, prices, K.HORIZON_ROWS[horizon])
+    return points.withColumns(X.labels()).filter("profitable is not null")
+
+
+def sector_codes(sectors: DataFrame) -> DataFrame:
+    """(ticker, sector, sector_encoded): dense number of the sorted sector names.
+
+    The numbering window runs over the few distinct sectors.
+    """
+    from pyspark.sql import Window
+
+    names = sectors.select("sector").filter("sector <> ''").distinct()
+    numbered = names.select("sector", F.row_number().over(Window.orderBy("sector")).cast("double").alias("sector_encoded"))
+    return sectors.join(F.broadcast(numbered), "sector", "left").select(
+        "ticker", "sector", F.coalesce("sector_encoded", F.lit(0.0)).alias("sector_encoded"))
+
+
+def sector_match(trades: DataFrame, assignments: DataFrame, sectors: DataFrame) -> DataFrame:
+    """(member, ticker) pairs whose committee and stock share a sector."""
+    spark = trades.sparkSession
+    table = spark.createDataFrame(
+        [(p.lower(), s) for p, names in K.COMMITTEE_SECTORS.items() for s in names], "prefix string, sector string")
+    covered = assignments.select(
+        "member_bioguide_id", F.lower(F.substring("committee_code", 1, 4)).alias("prefix")).distinct().join(
+        F.broadcast(table), "prefix").select("member_bioguide_id", "sector").distinct()
+    pairs = trades.select("member_bioguide_id", "ticker").dropna().distinct().join(sectors.select("ticker", "sector"), "ticker")
+    return pairs.join(covered, ["member_bioguide_id", "sector"], "left_semi").select(
+        "member_bioguide_id", "ticker", F.lit(1.0).alias("committee_sector_match"))
+
+
+def network_columns(
+    base: DataFrame, trades: DataFrame, clients: DataFrame, filings: DataFrame, contributions: DataFrame,
+    committees: DataFrame, triangles: DataFrame | None = None,
+) -> DataFrame:
+    """Lobbying, donation and degree counts of the trade's ticker and member.
+
+    ``triangles`` (trade_id) flags trades in a suspicious triangle.
+    """
+    num = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    out = (
+        base.join(stats.lobby_counts(clients, filings), "ticker", "left")
+        .join(stats.donor_counts(contributions, committees), ["member_bioguide_id", "ticker"], "left")
+        .join(stats.trade_degree(trades), "member_bioguide_id", "left"))
+    flag = F.lit(0.0)
+    if triangles is not None:
+        out = out.join(triangles.select("trade_id").distinct().withColumn("_tri", F.lit(1.0)), "trade_id", "left")
+        flag = num("_tri")
+    return out.withColumns({
+        "lobbying_connection_count": num("filing_count"), "campaign_donor_connection": num("contribution_count"),
+        "network_degree": num("degree"), "has_lobbying_triangle": flag,
+    }).drop("filing_count", "contribution_count", "degree", "_tri")
+
+
+@dataclass
+class DatasetOptions:
+    """What the training frame is built for."""
+
+    as_of: date
+    horizon: str = "180d"
+    since: str = K.TRAINING_START
+    benchmark: str = K.BENCHMARK_TICKER
+    limit: int | None = None
+    keep_untyped: bool = False
+    point_in_time: bool = False
+    trainable_only: bool = True
+
+
+def build_dataset(t, options: DatasetOptions, triangles: DataFrame | None = None) -> DataFrame:
+    """One row per labelled trade with all feature groups.
+
+    ``t`` offers the domain tables. The base rows are written out once; every
+    group is then derived from them on distinct (key, day) pairs and joined on
+    the keys, so the trades are shuffled per group but never paired.
+    """
+    base = t.trades
+    if options.trainable_only:
+        base = trainable_trades(base, options.as_of, options.horizon, since=options.since, keep_untyped=options.keep_untyped)
+    if options.limit is not None:
+        base = cap_oldest(base, options.limit)
+    every = t.trades.filter(F.col("ticker").isNotNull() & (F.col("transaction_date") >= F.lit(options.since).cast("date")))
+    rows = history.sample_weights(trade_member(base, t.members))
+    rows = durable(labelled(rows, t.prices, options.horizon)) if options.trainable_only else durable(
+        asof.nth_price_after(rows, t.prices, K.HORIZON_ROWS[options.horizon]).withColumns(X.labels()))
+    slim = rows.select("trade_id", "ticker", "transaction_date", "member_bioguide_id", "transaction_type")
+    rows = rows.withColumns({**X.trade_features(), **X.member_features(options.as_of)})
+    rows = rows.join(stats.committee_counts(t.assignments), "member_bioguide_id", "left").withColumn(
+        "committee_count", F.coalesce(F.col("committee_count").cast("double"), F.lit(0.0)))
+    rows = indicators.attach_indicators(rows, t.prices)
+    legislative = dayrange.legislative_features(slim, t.assignments, t.hearings, t.bills).drop(
+        "ticker", "transaction_date", "member_bioguide_id", "transaction_type")
+    rows = rows.join(legislative, "trade_id").withColumn("timing_suspicion_score", X.timing_score())
+    rows = history.sentiment_windows(rows, history.daily_sentiment(t.media, t.sentiment))
+    rows = network_columns(rows, t.trades, t.clients, t.filings, t.contributions, t.campaign_committees, triangles)
+    past = history.member_history(every, t.prices, K.HORIZON_ROWS[options.horizon])
+    rows = rows.join(past, "trade_id", "left").withColumns({
+        "member_win_rate": F.coalesce("member_win_rate", F.lit(0.5)),
+        "member_trade_count": F.coalesce("member_trade_count", F.lit(0.0)),
+        "member_avg_return": F.coalesce("member_avg_return", F.lit(0.0))})
+    rows = rows.join(history.cross_member(slim), "trade_id", "left").withColumns(X.calendar_features())
+    if options.point_in_time:
+        rows = rows.join(history.ticker_popularity_before(every), "trade_id", "left")
+    else:
+        rows = rows.join(history.ticker_popularity(every), "ticker", "left")
+    velocity = history.member_velocity(slim, t.trades)
+    rows = rows.join(velocity, "trade_id", "left").withColumns({
+        "ticker_total_members": F.coalesce(F.col("ticker_total_members").cast("double"), F.lit(0.0)),
+        "ticker_total_trades": F.coalesce(F.col("ticker_total_trades").cast("double"), F.lit(0.0)),
+        "ticker_purchase_ratio": F.coalesce("ticker_purchase_ratio", F.lit(0.5)),
+        "member_trades_30d": F.coalesce("member_trades_30d", F.lit(0.0)),
+        "member_trades_90d": F.coalesce("member_trades_90d", F.lit(0.0)),
+        "member_velocity_ratio": F.coalesce("member_velocity_ratio", F.lit(1.0)),
+        **{c: F.coalesce(c, F.lit(0.0)) for c in ("cross_member_7d", "cross_member_30d", "cross_member_same_dir_7d")}})
+    rows = indicators.market_regime(rows, t.prices.filter(F.col("ticker") == options.benchmark))
+    sectors = sector_codes(t.sectors)
+    rows = rows.join(sectors.select("ticker", "sector_encoded"), "ticker", "left").join(
+        sector_match(slim, t.assignments, sectors), ["member_bioguide_id", "ticker"], "left").withColumns({
+            "sector_encoded": F.coalesce("sector_encoded", F.lit(0.0)),
+            "committee_sector_match": F.coalesce("committee_sector_match", F.lit(0.0))})
+    rows = rows.withColumn("stock_vs_market_21d", X.excess_return())
+    return rows.withColumns(X.interactions())
+
+
+def feature_columns(df: DataFrame) -> list[str]:
+    """Numeric columns that are neither metadata nor label."""
+    skip = set(K.FEATURE_METADATA_COLUMNS)
+    return [f.name for f in df.schema.fields if f.name not in skip and f.dataType.simpleString() == "double"]
+
+
+def clean(df: DataFrame, columns: list[str]) -> DataFrame:
+    """NaN, infinities and nulls of the columns become 0."""
+    bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    return df.withColumns({c: F.when(bad(F.col(c)), 0.0).otherwise(F.col(c)) for c in columns})
+
+
+def select_features(df: DataFrame, least: float = 1e-10) -> list[str]:
+    """Feature columns whose population variance exceeds the least; one pass."""
+    columns = feature_columns(df)
+    row = clean(df, columns).agg(*[F.var_pop(c).alias(c) for c in columns]).first()
+    return [c for c in columns if row[c] is not None and row[c] > least]
+
+
+def feature_vector(dataset: DataFrame, ids: list[int] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """(trade_id, feature_vector): the features as a map, for storage with a score."""
+    columns = columns or feature_columns(dataset)
+    rows = dataset if ids is None else dataset.filter(F.col("trade_id").isin(ids))
+    pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c) for c in columns]))
+    return rows.select("trade_id", pairs.alias("feature_vector"))

@@ -569,4 +569,7 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     if not ordered:
         return sql
     ctes = ",\n".join(f"{name} AS ({views[name]})" for name in ordered)
+    recursive = sql.startswith("WITH RECURSIVE ")
+    if recursive:
+        return f"WITH RECURSIVE {ctes},\n{sql.removeprefix('WITH RECURSIVE ')}"
     return f"WITH {ctes}\n{sql}"
