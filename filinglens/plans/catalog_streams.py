@@ -78,15 +78,15 @@ def _(t):
     return jobs.drain(jobs.stream_alerts(signals, t.alert_configs).select("config_id", "signal_id"), "alerts")
 
 
-@query("t05_stream_rate_limit", ORACLES["n08_rate_limit"])
+@query("t05_stream_rate_limit", ORACLES["n08_rate_limit"], complete=True)
 def _(t):
     matches = jobs.stream_alerts(_streamed(t, "events").signals, t.alert_configs)
     return jobs.drain(jobs.stream_rate_limit(matches), "limited").select("config_id", "signal_id")
 
 
-@query("t06_stream_expiry", """SELECT signal_id, CAST(epoch_ms(expires_at) AS BIGINT) AS expired_ms FROM signals
-    WHERE is_active AND expires_at IS NOT NULL AND date_trunc('milliseconds', expires_at) <= (
-      SELECT date_trunc('milliseconds', max(created_at)) FROM signals WHERE is_active AND expires_at IS NOT NULL)""")
+@query("t06_stream_expiry", """SELECT signal_id, epoch_us(expires_at) // 1000 AS expired_ms FROM signals
+    WHERE is_active AND expires_at IS NOT NULL AND epoch_us(expires_at) // 1000 <= (
+      SELECT epoch_us(max(created_at)) // 1000 FROM signals WHERE is_active AND expires_at IS NOT NULL)""")
 def _(t):
     return jobs.drain(jobs.stream_expiry(_streamed(t, "events").signals), "expiry")
 
@@ -94,7 +94,7 @@ def _(t):
 SCORE_SCHEMA = "media_id long, model_name string, sentiment_label string, sentiment_score double, confidence double"
 
 
-@query("t07_stream_scores", ORACLES["l15_score_media"].replace(" AND m.media_id NOT IN (SELECT media_id FROM sentiment)", ""))
+@query("t07_stream_scores", ORACLES["l15_score_media"].replace(" AND m.media_id NOT IN (SELECT media_id FROM sentiment)", ""), complete=True)
 def _(t):
     docs = _streamed(t, "documents").media
     table = jobs.Table(t.spark, jobs.new_folder(t.spark, "scores"), SCORE_SCHEMA)

@@ -12,15 +12,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, views: dict[str, str] | None = None):
-    """Register ``fn(tables) -> DataFrame`` under a name, with its oracle SQL."""
+def query(name: str, sql: str | None = None, views: dict[str, str] | None = None, complete: bool = False):
+    """Register ``fn(tables) -> DataFrame`` under a name, with its oracle SQL.
+
+    ``complete`` SQL brings its own view definitions.
+    """
 
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_views(sql, views)
+            ORACLES[name] = sql if complete else with_views(sql, views)
         return fn
 
     return register

@@ -160,7 +160,7 @@ def stream_rate_limit(matches: DataFrame, n: int = K.ALERTS_PER_HOUR, window_sec
     slim = matches.select("config_id", "signal_id", "created_at")
     return slim.groupBy("config_id").transformWithStateInPandas(
         statefulProcessor=_limit_processor(n, window_seconds),
-        outputStructType=slim.schema, outputMode="Append", timeMode="ProcessingTime")
+        outputStructType=slim.schema, outputMode="Append", timeMode="None")
 
 
 def _expiry_processor():
