@@ -220,8 +220,15 @@ FRAME_COLUMNS = [
     "member_velocity_ratio", *REGIME_COLUMNS, "sector_encoded", "committee_sector_match", "stock_vs_market_21d", *INTERACTIONS]
 
 
+def _pinned(t):
+    """Trades and prices as stored tables, not re-derived by every group."""
+    from ..session import durable
+    t.__dict__.update(trades=durable(t.trades), prices=durable(t.prices))
+    return t
+
+
 def _frame(t):
-    return dataset.build_dataset(t, OPTIONS)
+    return dataset.build_dataset(_pinned(t), OPTIONS)
 
 
 def _cols(names):
@@ -392,13 +399,13 @@ def _(t):
 
 @query("l13_train_all")
 def _(t):
-    df = models.train_all(t, OPTIONS, folds=1, params=SMALL, trees=10)
+    df = models.train_all(_pinned(t), OPTIONS, folds=1, params=SMALL, trees=10)
     return df.select("model_name", "is_active", F.size("feature_columns").alias("features"))
 
 
 @query("l14_compare_horizons")
 def _(t):
-    return flat(models.compare_horizons(t, OPTIONS, ["5d", "21d"], folds=1, params=SMALL, trees=10))
+    return flat(models.compare_horizons(_pinned(t), OPTIONS, ["5d", "21d"], folds=1, params=SMALL, trees=10))
 
 
 WORDS = {"lex": "SELECT * FROM (VALUES " + ",".join(f"('{w}', {v})" for w, v in K.SENTIMENT_WORDS.items()) + ") l(word, sign)"}
