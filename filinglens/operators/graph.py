@@ -273,25 +273,32 @@ def committee_overlap(edges: DataFrame, limit: int | None = 50) -> DataFrame:
 
 
 def connections(edges: DataFrame, members: Sequence[str] | None = None) -> DataFrame:
-    """Per member: companies with trade counts, their firms, donors among them."""
+    """Per member: companies with trade counts, lobbying links, donors among them.
+
+    Links are counted from the number of firms per company. The links themselves
+    (lobbying_connections) are listed only when members are asked for: for all
+    members they would repeat every firm of a company for each of its traders.
+    """
     trades = _rel(edges, "TRADED", "member", "ticker")
     donors = _rel(edges, "DONATED_TO", "ticker", "member", "total_amount", "contribution_count")
     if members is not None:
         asked = F.col("member").isin(list(members))
         trades, donors = trades.filter(asked), donors.filter(asked)
-    per = trades.groupBy("member", "ticker").agg(F.count("*").alias("trade_count"))
     firms = _rel(edges, "LOBBIED_FOR", "firm", "ticker").distinct()
-    companies = per.groupBy("member").agg(
-        F.array_sort(F.collect_list(F.struct("ticker", "trade_count"))).alias("traded_companies"))
-    lobbying = per.join(firms, "ticker").groupBy("member").agg(
-        F.array_sort(F.collect_set(F.struct("ticker", "firm"))).alias("lobbying_connections"))
-    giving = per.join(donors, ["member", "ticker"]).groupBy("member").agg(
-        F.array_sort(F.collect_list(F.struct("ticker", "total_amount", "contribution_count"))).alias("donation_connections"))
-    out = companies.join(lobbying, "member", "left").join(giving, "member", "left")
-    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return out.withColumns({
-        "companies_traded": count("traded_companies"), "lobbying_link_count": count("lobbying_connections"),
-        "donation_link_count": count("donation_connections")})
+    per = trades.groupBy("member", "ticker").agg(F.count("*").alias("trade_count"))
+    sized = per.join(firms.groupBy("ticker").agg(F.count("*").alias("firms")), "ticker", "left").join(
+        donors, ["member", "ticker"], "left")
+    gift = F.when(F.col("contribution_count").isNotNull(), F.struct("ticker", "total_amount", "contribution_count"))
+    out = sized.groupBy("member").agg(
+        F.array_sort(F.collect_list(F.struct("ticker", "trade_count"))).alias("traded_companies"),
+        F.array_sort(F.collect_list(gift)).alias("donation_connections"),
+        F.count("*").alias("companies_traded"), F.coalesce(F.sum("firms"), F.lit(0)).alias("lobbying_link_count"),
+        F.count("contribution_count").alias("donation_link_count"))
+    if members is None:
+        return out
+    links = per.join(firms, "ticker").groupBy("member").agg(
+        F.array_sort(F.collect_list(F.struct("ticker", "firm"))).alias("lobbying_connections"))
+    return out.join(links, "member", "left")
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
