@@ -138,7 +138,8 @@ def build_dataset(t, options: DatasetOptions, triangles: DataFrame | None = None
     rows = indicators.attach_indicators(rows, t.prices)
     legislative = dayrange.legislative_features(slim, t.assignments, t.hearings, t.bills).drop(
         "ticker", "transaction_date", "member_bioguide_id", "transaction_type")
-    rows = rows.join(legislative, "trade_id").withColumn("timing_suspicion_score", X.timing_score())
+    # half of the groups are joined: written out, so neither planning nor a retry repeats them
+    rows = durable(rows.join(legislative, "trade_id").withColumn("timing_suspicion_score", X.timing_score()))
     rows = history.sentiment_windows(rows, history.daily_sentiment(t.media, t.sentiment))
     rows = network_columns(rows, t.trades, t.clients, t.filings, t.contributions, t.campaign_committees, triangles)
     past = history.member_history(every, t.prices, K.HORIZON_ROWS[options.horizon])
