@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import features as X
 from ..learn import anomaly, folds, media, models
-from ..operators import asof
-from . import dataset, stats
+
+from . import dataset
 from .catalog_joins import (
     CROSS_VIEWS, DAILY_SENT, HISTORY_VIEWS, IND_VIEWS, LEG_VIEWS, NUMBERED, REGIME_COLUMNS, REGIME_VIEWS, TIMING_SQL, VELOCITY_VIEWS,
 )

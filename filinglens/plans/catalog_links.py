@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import merge, resolve
 from .catalog_sources import HTML_SQL, normalised_lobbying
 from .registry import R, S, flat, query
-from .views import AS_OF_TIME, Tables, committee_code
+
 
 # ---------------------------------------------------------------- X functions
 

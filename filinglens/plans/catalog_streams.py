@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..streaming import jobs
 from .catalog_graph import MATCH
-from .catalog_learning import WORDS
-from .registry import ORACLES, R, S, TS, flat, query
+from . import catalog_learning  # noqa: F401  (registers the SQL reused below)
+from .registry import ORACLES, TS, flat, query
 from .views import Tables, given_name, family_name
 
 

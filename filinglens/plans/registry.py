@@ -65,6 +65,3 @@ def S(expr: str) -> str:
 def TS(expr: str) -> str:
     return f"strftime({expr}, '%Y-%m-%d %H:%M:%S')"
 
-
-def B(expr: str) -> str:
-    return f"CAST({expr} AS BIGINT)"

@@ -3,12 +3,12 @@
 import itertools
 from datetime import date, datetime, timedelta
 
-import pandas as pd
+
 import pytest
 from pyspark.sql import functions as F
 
 from filinglens import constants as K
-from filinglens.functions import features as X, text
+from filinglens.functions import text
 from filinglens.operators import asof, dayrange, graph, history, indicators, merge, metrics, resolve, signals
 from filinglens.learn import folds
 from filinglens.learn.anomaly import Forest, fit_anomaly, score_anomaly
