@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from filinglens.llm import quality_rules
+from filinglens.llm import quality_rules, substring_dedup
 
 QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES = {
     "op9_quality_rules": quality_rules.OP9_SQL,
+    "op10_substring_dedup": substring_dedup.OP10_SQL,
 }
