@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from filinglens.llm import quality_rules, substring_dedup
+from filinglens.llm import quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
