@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from filinglens.llm import quality_classifier, quality_rules, substring_dedup
+from filinglens.llm import jaccard_join, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES = {
+    "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
 }
