@@ -12,18 +12,19 @@ text has none and links with nothing. Two documents link when 100 * |A and B| >=
    salted when large, with their hub copied to every part. This joins most
    families of near copies before any pair of them is formed.
 3. Adaptive multi-match prefixes, for whatever quick links missed. With a(n) =
-   ceil(0.8 n), the first n - a(n) + l shingles in hash order of two linked
-   documents share at least l. Only shingles held by several components can still
-   matter; those held by ``HOT`` representatives or more are expensive. Each
-   document takes the l whose estimated candidates (postings of its cheap prefix
-   shingles over the matches required) are fewest, and may leave out its h
-   expensive prefix shingles by requiring l - h >= 1 cheap matches. A document
-   for which no l gives that takes the largest l with all its shingles.
-   Two documents are a candidate pair when their shared shingles reach the
-   requirement of the one with the smaller l; every candidate across components is
-   verified on whole sets. l is bounded by ``longest(0.8 n)``, so the smaller l of
-   a pair is never that of a document that kept its expensive shingles unless both
-   did: no link is lost.
+   ceil(0.8 n), the first n - a(n) + l shingles, in any one order of shingles, of
+   two linked documents share at least l. First the order of hashes is used: only
+   prefix shingles held by several components matter, and only documents that hold
+   l of them for every l stay live. Then the shingles of live documents are counted
+   and ordered rare ones first. Those held by ``HOT`` live documents or more are
+   expensive. Each document takes the l whose estimated candidates (postings of its
+   cheap prefix shingles over the matches required) are fewest, and leaves out its h
+   expensive prefix shingles by requiring l - h >= 1 cheap matches; a document for
+   which no l gives that keeps all. A pair is a candidate when its shared shingles,
+   within the prefixes that its two sizes allow, reach the requirement of the one
+   with the smaller l (1 if both kept all). Every candidate across components is
+   verified on whole sets. As l is at most ``_longest(0.8 n)``, the prefix of a
+   document that kept all covers the l of every partner: no link is lost.
 4. The union of all links gives the components.
 
 Rows that share a doc_id are one node. Rows without a doc_id get the component of
@@ -47,6 +48,8 @@ HOT = 64
 LONGEST = 24
 #: Rows of one min-hash that one task compares; more are dealt to several.
 GROUP = 512
+#: Counts at which a shingle moves to the next place in the order of prefixes.
+LEVELS = (2, 5, 17)
 #: Least size of a min-hash group to be salted is rows / HEAVY_KEYS, which bounds the broadcast list.
 HEAVY_KEYS = 4096
 LEADERS = 16
@@ -314,28 +317,90 @@ def _prefixes(reps, bits=None):
     return tx.per_chunk(work)
 
 
+def _live(spread):
+    """Documents whose prefixes hold enough shingles of several components, for every number of matches."""
+    def run(batches):
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            keys = batch.column("key")
+            own = np.repeat(np.arange(len(n)), keys.value_lengths().to_numpy())
+            near = shared.maybe(spread.value, keys.flatten().to_numpy().view(np.uint64))
+            place, own = batch.column("place").flatten().to_numpy()[near], own[near]
+            base, alive = n - (4 * n + 4) // 5, np.ones(len(n), bool)
+            for matches in range(1, LONGEST + 1):
+                held = np.bincount(own[place < base[own] + matches], minlength=len(n))
+                alive &= (held >= matches) | (matches > (4 * n + 4) // 5)
+            yield batch.select(["doc_id", "component"]).filter(pa.array(alive))
+
+    return run
+
+
+def _rare_first(live, levels=None):
+    """All shingles of the live documents, counted; or, per document, its shared prefix shingles, rare ones first.
+
+    The order over shingles is by the level of their count, then by hash; the
+    levels are a function of the shingle alone, so the order is one for all.
+    """
+    def work(batches):
+        for batch in batches:
+            kept = batch.filter(pa.array(shared.maybe(live.value, _id_key(_ids(batch)))))
+            if not kept.num_rows:
+                continue
+            for t in tx.texts(kept.column("text")):
+                s = Sets(t)
+                if levels is None:
+                    keys, n = np.unique(s.values, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+                    continue
+                own, level = s.owner(), np.zeros(len(s.values), np.int64)
+                for i, row in enumerate(levels.value):
+                    level[shared.maybe(row, s.values)] = i + 1
+                order = np.argsort(own * 8 + level, kind="stable")
+                take = s.sizes - (4 * s.sizes + 4) // 5 + _longest(s.sizes)
+                keep = (s.place() < take[own]) & (level[order] > 0)
+                counts = np.bincount(own[keep], minlength=len(t))
+                some = pa.array(counts > 0)
+                most = s.sizes - np.bincount(own[level == 0], minlength=len(t))
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column("doc_id").slice(t.row, len(t)), pa.array(s.sizes), pa.array(most),
+                     tx.ragged(s.place()[keep].astype(np.int32), counts), tx.ragged(s.values[order][keep].view(np.int64), counts)],
+                    ["doc_id", "n", "most", "place", "key"]).filter(some)
+
+    return work
+
+
 def _choose(batches):
-    """The matches l each document asks for, and the prefix shingles it is found by."""
+    """The matches l each document asks for, and the prefix shingles it is found by.
+
+    ``cap`` is the largest set with which its shingles that others also hold could
+    reach the threshold; l is null where every shingle of the prefix has to serve.
+    """
+    names = ("key", "place", "doc_id", "component", "n", "cap", "l", "need")
     for batch in batches:
-        out = {k: [] for k in ("key", "doc_id", "component", "n", "l", "need")}
+        out = {k: [] for k in names}
         for row in batch.to_pylist():
-            n, items = row["n"], sorted(row["items"], key=lambda x: x["place"])
-            base = n - (4 * n + 4) // 5
-            best = None
+            n = row["n"]
+            cap = 180 * row["most"] // 80 - n
+            if 100 * cap < 80 * n:
+                continue
+            items = sorted(row["items"], key=lambda x: x["place"])
+            base, best, i, hot, postings, cheap = n - (4 * n + 4) // 5, None, 0, 0, 0, []
             for l in range(1, int(_longest((4 * n + 4) // 5)) + 1):
-                seen = [x for x in items if x["place"] < base + l]
-                cheap = [x for x in seen if x["df"] < HOT]
-                need = l - (len(seen) - len(cheap))
-                if need >= 1:
-                    cost = sum(x["df"] - 1 for x in cheap) / need
-                    if best is None or cost < best[0]:
-                        best = (cost, l, need, cheap)
+                while i < len(items) and items[i]["place"] < base + l:
+                    if items[i]["df"] < HOT:
+                        cheap.append(items[i])
+                        postings += items[i]["df"] - 1
+                    else:
+                        hot += 1
+                    i += 1
+                if l > hot and (best is None or postings / (l - hot) < best[0]):
+                    best = (postings / (l - hot), l, l - hot, len(cheap))
             if best is None:
-                l = int(_longest(n))
-                best = (0, l, l, [x for x in items if x["place"] < base + l])
-            _, l, need, used = best
+                l, need, used = None, 1, items
+            else:
+                l, need, used = best[1], best[2], cheap[: best[3]]
             for x in used:
-                for k, v in (("key", x["key"]), ("doc_id", row["doc_id"]), ("component", row["component"]), ("n", n), ("l", l), ("need", need)):
+                for k, v in zip(names, (x["key"], x["place"], row["doc_id"], row["component"], n, cap, l, need)):
                     out[k].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
@@ -344,29 +409,32 @@ def _candidates(docs: DataFrame, labelled: DataFrame, reps) -> DataFrame:
     """Pairs of representatives in different components that reach the required prefix matches."""
     counted = docs.mapInArrow(_prefixes(reps), "key long, n long")
     bits = shared.send(docs, shared.repeated(counted))
-    lists = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(reps, bits), "doc_id long, n long, place array<int>, key array<long>")
-    lists = durable(lists.join(labelled.select("doc_id", "component"), "doc_id"))
-    each = lists.select("doc_id", "component", "n", F.explode(F.arrays_zip("place", "key")).alias("x"))
-    each = each.select("doc_id", "component", "n", "x.place", "x.key")
-    spread = shared.send(docs, shared.spread(each.select("key", "component"), F.col("component")))
-
-    def near(batches):
-        for batch in batches:
-            keep = shared.maybe(spread.value, batch.column("key").to_numpy().view(np.uint64))
-            yield batch.filter(pa.array(keep))
-
-    rows = each.mapInArrow(near, each.schema)
+    known, schema = docs.where("doc_id IS NOT NULL"), "doc_id long, n long, place array<int>, key array<long>"
+    lists = durable(known.mapInArrow(_prefixes(reps, bits), schema).join(labelled.select("doc_id", "component"), "doc_id"))
+    spread = shared.send(docs, shared.spread(lists.select(F.explode("key").alias("key"), "component"), F.col("component")))
+    live = durable(lists.mapInArrow(_live(spread), "doc_id long, component long"))
+    ids = shared.send(docs, shared.bit_array(_by_id(live)))
+    levels = shared.send(docs, shared.levels(known.mapInArrow(_rare_first(ids), "key long, n long"), LEVELS))
+    schema = schema.replace("place", "most long, place")
+    rows = known.mapInArrow(_rare_first(ids, levels), schema).join(live, "doc_id").select(
+        "doc_id", "component", "n", "most", F.explode(F.arrays_zip("place", "key")).alias("x"))
+    rows = durable(rows.select("doc_id", "component", "n", "most", "x.place", "x.key"))
     df = rows.groupBy("key").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     rows = rows.join(df.where("lo < hi").select("key", "df"), "key")
-    per_doc = rows.groupBy("doc_id", "component", "n").agg(F.collect_list(F.struct("place", "key", "df")).alias("items"))
-    chosen = durable(per_doc.mapInArrow(_choose, "key long, doc_id long, component long, n long, l long, need long"))
-    a, b = chosen.alias("a"), chosen.alias("b")
-    met = a.join(
-        b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
-        & (100 * F.col("a.n") >= 80 * F.col("b.n")) & (100 * F.col("b.n") >= 80 * F.col("a.n")))
+    per_doc = rows.groupBy("doc_id", "component", "n", "most").agg(F.collect_list(F.struct("place", "key", "df")).alias("items"))
+    chosen = durable(per_doc.mapInArrow(
+        _choose, "key long, place long, doc_id long, component long, n long, cap long, l long, need long"))
+    both = F.expr("(4 * (a.n + b.n) + 8) div 9")  # the least overlap of two linked sets of these sizes
+    l = F.coalesce(F.least("a.l", "b.l"), F.lit(1))
     need = (
         F.when(F.col("a.l") < F.col("b.l"), F.col("a.need")).when(F.col("b.l") < F.col("a.l"), F.col("b.need"))
+        .when(F.col("a.l").isNull(), F.col("b.need")).when(F.col("b.l").isNull(), F.col("a.need"))
         .otherwise(F.least("a.need", "b.need")))
+    met = chosen.alias("a").join(
+        chosen.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
+        & (F.col("a.n") <= F.col("b.cap")) & (F.col("b.n") <= F.col("a.cap"))
+        & (100 * F.col("a.n") >= 80 * F.col("b.n")) & (100 * F.col("b.n") >= 80 * F.col("a.n"))
+        & (F.col("a.place") < F.col("a.n") - both + l) & (F.col("b.place") < F.col("b.n") - both + l))
     pairs = met.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v"), need.alias("need"))
     return pairs.groupBy("u", "v").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("u", "v")
 

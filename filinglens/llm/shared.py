@@ -33,6 +33,22 @@ def bit_array(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     return out
 
 
+def levels(keys: DataFrame, steps: tuple[int, ...], bits: int = BITS) -> np.ndarray:
+    """One row of bits per step: the keys that ``keys`` (key long, n long) counts at least that often."""
+    place = F.col("key").bitwiseAND(F.lit(bits - 1))
+    counted = keys.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= steps[0])
+    level = sum((F.col("n") >= s).cast("int") for s in steps[1:]) + F.lit(0)
+    rows = (
+        counted.select(level.alias("level"), F.shiftright(place, 15).cast("int").alias("part"),
+                       place.bitwiseAND(F.lit(_PART - 1)).alias("at"))
+        .groupBy("level", "part").agg(F.bitmap_construct_agg("at").alias("map"))
+    )
+    out = np.zeros((len(steps), bits // 8), np.uint8)
+    for level_, part, chunk in rows.toLocalIterator():
+        out[level_, part * _PART // 8 : (part + 1) * _PART // 8] = np.frombuffer(bytes(chunk), np.uint8)
+    return out
+
+
 def maybe(array: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether the bit of each key is set."""
     place = keys & np.uint64(len(array) * 8 - 1)
