@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from filinglens.llm import html_extraction, jaccard_join, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, token_counts
+from filinglens.llm import html_extraction, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_sharding": sharding.op4_sharding,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_source_mixing": mixing.op6_source_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_quality_rules": quality_rules.op9_quality_rules,

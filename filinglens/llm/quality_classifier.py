@@ -41,7 +41,7 @@ _SHAPE[48:58] = 57
 _SHAPE[128:] = 97
 
 
-def _shapes(t: tx.Texts, w: tx.Words) -> np.ndarray:
+def shapes(t: tx.Texts, w: tx.Words) -> np.ndarray:
     kind = _SHAPE[t.data]
     keep = np.ones(len(kind), bool)
     keep[1:] = kind[1:] != kind[:-1]
@@ -53,7 +53,7 @@ def _shapes(t: tx.Texts, w: tx.Words) -> np.ndarray:
 def places(t: tx.Texts, dim: int = DIM) -> tuple[tx.Words, list[np.ndarray]]:
     """Per word four feature places; the last word of a text has none for its pairs (place ``dim``)."""
     w = tx.words(t)
-    h, shape = tx.span_hashes(t.data, w.starts, w.ends), _shapes(t, w)
+    h, shape = tx.span_hashes(t.data, w.starts, w.ends), shapes(t, w)
     pair = tx.complete(w, 2)
     again = h == np.roll(h, -1)
     kinds = [
@@ -84,23 +84,23 @@ def _examples(dim: int):
     return tx.per_chunk(work)
 
 
-def _sigmoid(x):
+def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _leader(rows, dim: int, epochs: int) -> np.ndarray:
+def leader(rows, dim: int, epochs: int, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> np.ndarray:
     """FTRL-proximal weights of examples (place, value, label); the bias is the last place."""
     z, n = np.zeros(dim + 1), np.zeros(dim + 1)
 
     def weights(at):
-        return np.where(np.abs(z[at]) <= L1, 0.0, -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
+        return np.where(np.abs(z[at]) <= l1, 0.0, -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
             place, value, label = rows[i]
             w = weights(place)
-            g = (_sigmoid(float(w @ value)) - label) * value
-            step = (np.sqrt(n[place] + g * g) - np.sqrt(n[place])) / ALPHA
+            g = (sigmoid(float(w @ value)) - label) * value
+            step = (np.sqrt(n[place] + g * g) - np.sqrt(n[place])) / alpha
             z[place] += g - step * w
             n[place] += g * g
     return weights(np.arange(dim + 1))
@@ -113,14 +113,14 @@ def _fit_shard(dim: int, epochs: int):
             for p, v, y in zip(frame["place"], frame["value"], frame["label"])
         ]
         rows.sort(key=lambda r: (r[2], len(r[0]), r[0][:8].tolist()))  # the same order, however the rows arrive
-        w = _leader(rows, dim, epochs)
+        w = leader(rows, dim, epochs)
         at = np.flatnonzero(w)
         return pd.DataFrame({"place": at.astype(np.int32), "weight": w[at]})
 
     return fit
 
 
-def _part(column, n: int):
+def part(column, n: int):
     """0 to n - 1, by a hash of an id."""
     return F.pmod(F.xxhash64(column), F.lit(n))
 
@@ -132,8 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", dim: int = D
     total = known.count()
     if total > max_labelled:
         share = int(max_labelled / total * (1 << 30))
-        known = known.where(_part(F.concat_ws("-", F.lit("fit"), F.col("doc_id")), 1 << 30) < share)
-    known = known.withColumn("shard", _part("doc_id", shards).cast("int"))
+        known = known.where(part(F.concat_ws("-", F.lit("fit"), F.col("doc_id")), 1 << 30) < share)
+    known = known.withColumn("shard", part("doc_id", shards).cast("int"))
     rows = tx.documents(docs).join(F.broadcast(known), "doc_id")
     examples = rows.select("shard", "label", "text").mapInArrow(
         _examples(dim), "shard int, label int, place array<int>, value array<float>")
@@ -157,7 +157,7 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
         x = (total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(1, w.counts())
         names = [*keep, "doc_id"]
         return pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in names), pa.array(_sigmoid(x + bias))], [*names, "score"])
+            [*(batch.column(c) for c in names), pa.array(sigmoid(x + bias))], [*names, "score"])
 
     rows = tx.documents(docs, *[F.col(c) for c in keep])
     schema = ", ".join([*(f"`{c}` {dict(rows.dtypes)[c]}" for c in keep), "doc_id long", "score double"])

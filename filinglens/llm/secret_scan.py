@@ -153,7 +153,8 @@ def scan(docs: DataFrame, table: Iterable[float]) -> DataFrame:
 
     def secret(s):
         apart = ~F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-        ratio = _ratio(s["value"], ratios)
+        capitals = s["value"].rlike("^[A-Z/_=+-]+$")  # identifiers are ordinary in capitals too
+        ratio = _ratio(F.when(capitals, F.lower(s["value"])).otherwise(s["value"]), ratios)
         return s["value"].rlike("[A-Za-z]") & apart & (ratio >= MIN_RATIO) & (ratio >= MIN_MEAN * (F.char_length(s["value"]) - 1))
 
     return rows.select("doc_id", *kinds, F.filter("_runs", secret).alias("markov"))

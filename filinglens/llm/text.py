@@ -102,12 +102,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 
+class Hasher:
+    """Hashes of any byte spans of one array."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _upto(max(1, len(data) + 1))
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_TABLE[data] * up[: len(data)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each byte span."""
-    up, down = _upto(max(1, len(data) + 1))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return Hasher(data)(starts, ends)
 
 
 def ngram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
