@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from filinglens.llm import html_extraction, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, token_counts
+from filinglens.llm import decontamination, html_extraction, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_sharding": sharding.op4_sharding,
     "op5_secret_scan": secret_scan.op5_secret_scan,

@@ -8,11 +8,13 @@ one longer text.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,6 +156,23 @@ def per_chunk(work: Callable[[pa.RecordBatch, Texts], pa.RecordBatch | None], co
     return run
 
 
+class Sent:
+    """A broadcast of any object, by value: the workers need not be able to import its class."""
+
+    def __init__(self, df: DataFrame, value):
+        self.raw = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.kept: list = []
+
+    def __getstate__(self):
+        return {"raw": self.raw, "kept": []}
+
+    @property
+    def value(self):
+        if not self.kept:
+            self.kept.append(pickle.loads(self.raw.value))
+        return self.kept[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

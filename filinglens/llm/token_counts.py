@@ -153,7 +153,7 @@ class Counter:
 
 def count_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id and n_tokens of every row. The vocabulary file is read where the session runs and sent along, once."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load(path))
+    vocabulary = tx.Sent(docs, load(path))
 
     def run(batches):
         counter = Counter(vocabulary.value)
