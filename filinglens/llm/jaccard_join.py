@@ -261,7 +261,7 @@ def _quick_links(docs: DataFrame, classes: DataFrame, reps) -> DataFrame:
     sized = sized.where("c > 1")
     mins = shared.send(docs, shared.bit_array(sized))
     least = max(GROUP, -(-classes.count() // HEAVY_KEYS))
-    heavy = {r["key"]: (-(-r["c"] // GROUP), r["hub"]) for r in sized.where(F.col("c") > least).toLocalIterator()}
+    heavy = {r["key"]: (-(-r["c"] // GROUP), r["hub"]) for r in sized.where(F.col("c") > least).collect()}
     rows = docs.where("doc_id IS NOT NULL").mapInArrow(
         _groups(reps, mins, context.broadcast(heavy)), "key long, salt long, rank long, doc_id long, text string")
     return _clustered(rows)

@@ -28,7 +28,7 @@ def bit_array(keys: DataFrame, bits: int = BITS) -> np.ndarray:
         .groupBy("part").agg(F.bitmap_construct_agg("at").alias("map"))
     )
     out = np.zeros(bits // 8, np.uint8)
-    for part, chunk in rows.toLocalIterator():
+    for part, chunk in rows.collect():
         out[part * _PART // 8 : (part + 1) * _PART // 8] = np.frombuffer(bytes(chunk), np.uint8)
     return out
 
@@ -44,7 +44,7 @@ def levels(keys: DataFrame, steps: tuple[int, ...], bits: int = BITS) -> np.ndar
         .groupBy("level", "part").agg(F.bitmap_construct_agg("at").alias("map"))
     )
     out = np.zeros((len(steps), bits // 8), np.uint8)
-    for level_, part, chunk in rows.toLocalIterator():
+    for level_, part, chunk in rows.collect():
         out[level_, part * _PART // 8 : (part + 1) * _PART // 8] = np.frombuffer(bytes(chunk), np.uint8)
     return out
 
