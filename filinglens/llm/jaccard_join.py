@@ -488,6 +488,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the smallest doc_id of their component; of rows that repeat a doc_id, the same
+    text once. A row without doc_id or shingles stays."""
+    found = near_duplicates(docs).where("doc_id IS NOT NULL AND doc_id <> component_id")
+    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    return kept
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and component of every document."""
     return near_duplicates(tx.table(spark, sf_dir, "documents"))

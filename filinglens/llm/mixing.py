@@ -146,7 +146,7 @@ def rate(steps: list[list[float]]) -> Column:
 
 
 def fit_rates(rows: DataFrame, targets) -> list[list[float]]:
-    """Projected gradient steps until every domain total is ``CLOSE`` to its target.
+    """Projected gradient steps until every domain total is ``CLOSE`` to its target, or a step moves none by as much.
 
     ``targets`` maps the present totals by domain to the wanted ones.
     """
@@ -164,11 +164,12 @@ def fit_rates(rows: DataFrame, targets) -> list[list[float]]:
     if top <= 0:
         return []
     steps: list[list[float]] = []
-    totals = present
+    totals, before = present, np.full(k, np.inf)
     for _ in range(STEPS):
         miss = (totals - wanted) * scale
-        if np.abs(miss).max() < CLOSE:
+        if np.abs(miss).max() < CLOSE or np.abs(miss - before).max() < CLOSE:
             break
+        before = miss
         steps.append((miss * scale / top).tolist())
         r = rate(steps)
         totals = np.array(rows.agg(*[F.sum(tokens * a * r).alias(f"s{i}") for i, a in enumerate(p)]).first(), float)

@@ -145,23 +145,39 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", dim: int = D
     return out
 
 
-def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
-    """doc_id and score of every row, and the columns named in ``keep``."""
-    dim = len(weights) - 1
-    table, bias = np.append(weights[:-1], 0.0), float(weights[-1])
-    model = docs.sparkSession.sparkContext.broadcast(table)
+class Scorer:
+    """Scores of the texts of a chunk under broadcast weights."""
 
-    def work(batch, t):
-        w, kinds = places(t, dim)
-        total = np.concatenate(([0.0], np.cumsum(sum(model.value[k] for k in kinds))))
+    def __init__(self, df: DataFrame, weights: np.ndarray):
+        self.dim, self.bias = len(weights) - 1, float(weights[-1])
+        self.table = df.sparkSession.sparkContext.broadcast(np.append(weights[:-1], 0.0))
+
+    def __call__(self, t: tx.Texts) -> np.ndarray:
+        w, kinds = places(t, self.dim)
+        total = np.concatenate(([0.0], np.cumsum(sum(self.table.value[k] for k in kinds))))
         x = (total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(1, w.counts())
-        names = [*keep, "doc_id"]
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in names), pa.array(sigmoid(x + bias))], [*names, "score"])
+        return sigmoid(x + self.bias)
+
+
+def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """doc_id and score of every row."""
+    model = Scorer(docs, weights)
+
+    def work(batch, t):
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model(t))], ["doc_id", "score"])
+
+    return tx.documents(docs).mapInArrow(tx.per_chunk(work), "doc_id long, score double")
+
+
+def kept(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose texts score at the threshold or above, in one pass."""
+    model = Scorer(docs, weights)
+
+    def work(batch, t):
+        return batch.filter(pa.array(model(t) >= threshold))
 
-    rows = tx.documents(docs, *[F.col(c) for c in keep])
-    schema = ", ".join([*(f"`{c}` {dict(rows.dtypes)[c]}" for c in keep), "doc_id long", "score double"])
-    return rows.mapInArrow(tx.per_chunk(work), schema)
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(tx.per_chunk(work), rows.schema)
 
 
 def held_out(column):

@@ -9,6 +9,7 @@ one longer text.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -18,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -173,6 +174,11 @@ class Sent:
         return self.kept[0]
 
 
+def fresh_name(stem: str) -> str:
+    """A folder name that no other run takes."""
+    return f"{stem}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
