@@ -5,11 +5,12 @@
    distinct hashed words, word beginnings and word shapes of the text, trained by
    FTRL with L1, for toxic and for low quality; clean is neither.
 2. A document of t words brings rate * t * p[k] expected tokens to domain k. Rates
-   start at 1 and follow projected gradient steps on the squared relative misses of
-   the domain totals, in the metric that weighs a rate by its tokens, so that equal
-   posteriors get equal rates. A step needs only the domain totals, which Spark
-   sums; nothing of a document's size reaches the driver. A rate is a function of
-   the posterior, so a later pass over the texts can apply it without a join.
+   start at 1 and follow projected gradient steps on the squared misses of the
+   domain totals, each over the domain's present total, in the metric that weighs a
+   rate by its tokens, so that equal posteriors get equal rates. A step needs only
+   the domain totals, which Spark sums; no document reaches the driver. A rate is a
+   function of the posterior, so a later pass over the texts applies it without a
+   join.
 
 At most about ``MAX_LABELLED`` labelled rows train the classifier (picked by a
 hash of doc_id where there are more); every document counts in the totals.
@@ -39,7 +40,8 @@ DIM = 1 << 18
 MAX_LABELLED = 20000
 SHARDS, EPOCHS = 4, 4
 RATES = {"alpha": 0.5, "beta": 1.0, "l1": 0.5, "l2": 0.0}
-STEPS, CLOSE = 40, 1e-4
+#: The fit ends when every total is this close to its target, or a step moves none by as much as the second.
+STEPS, CLOSE, STILL = 40, 1e-4, 1e-3
 #: Bytes of word beginnings that are features, for words that are longer.
 BEGINNINGS = (4, 7)
 #: Bounds, in percent of the words, between the places for texts that repeat words in a row.
@@ -146,7 +148,7 @@ def rate(steps: list[list[float]]) -> Column:
 
 
 def fit_rates(rows: DataFrame, targets) -> list[list[float]]:
-    """Projected gradient steps until every domain total is ``CLOSE`` to its target, or a step moves none by as much.
+    """Projected gradient steps until every domain total is ``CLOSE`` to its target, or a step moves none by ``STILL``.
 
     ``targets`` maps the present totals by domain to the wanted ones.
     """
@@ -159,18 +161,18 @@ def fit_rates(rows: DataFrame, targets) -> list[list[float]]:
     present, gram = found[:k], found[k:].reshape(k, k)
     wanted_by = targets(dict(zip(DOMAINS, present)))
     wanted = np.array([wanted_by[d] for d in DOMAINS])
-    scale = np.where(present > 0, 1 / np.maximum(present, 1e-9), 0.0)
+    scale = np.where(present > 0, 1 / np.sqrt(np.maximum(present, 1e-9)), 0.0)
     top = float(np.linalg.eigvalsh(gram * np.outer(scale, scale)).max())
     if top <= 0:
         return []
     steps: list[list[float]] = []
     totals, before = present, np.full(k, np.inf)
     for _ in range(STEPS):
-        miss = (totals - wanted) * scale
-        if np.abs(miss).max() < CLOSE or np.abs(miss - before).max() < CLOSE:
+        miss = (totals - wanted) * scale * scale  # as shares of the present totals
+        if np.abs(miss).max() < CLOSE or np.abs(miss - before).max() < STILL:
             break
         before = miss
-        steps.append((miss * scale / top).tolist())
+        steps.append((miss / top).tolist())
         r = rate(steps)
         totals = np.array(rows.agg(*[F.sum(tokens * a * r).alias(f"s{i}") for i, a in enumerate(p)]).first(), float)
     return steps
