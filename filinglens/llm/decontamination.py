@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Benchmark items become passages of at most ``WINDOW`` words. Words are weighed
-   by their inverse document frequency over all documents; those in more than
-   ``CONTENT`` of the documents weigh nothing, except in items that would keep fewer
-   than 3 words.
+   by their inverse document frequency over all documents. An item's content words
+   are those in at most ``CONTENT`` of the documents, or in no more than its median
+   word (an item that leaks often is not common language), or all if these are fewer
+   than 3; words that are no item's content weigh nothing.
 2. A distributed randomised SVD of the passages' TF-IDF matrix: partitions of
    passages add up their part of A'(A W) for a random W, twice with an
    orthogonalisation between, then the small Gram matrix that gives the axes. A
@@ -31,6 +32,7 @@ import re
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ MASS = 0.4
 CONTENT = 0.02
 SAME, PARAPHRASE, ANSWER = 0.7, 0.45, 0.8
 BLOCK_ITEMS, BLOCK_WORDS = 256, 1 << 14
+#: Rows of a matrix that are added up together.
+PIECE = 256
 _FILTER = 1 << 22
 
 _SEPARATOR = np.ones(256, bool)
@@ -116,27 +120,33 @@ def _row(index: list[int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _partial(product):
-    """Adds up ``product`` (a matrix per passage) over each partition."""
+    """Adds up ``product`` (a matrix per passage) over each partition, in pieces of ``PIECE`` rows."""
     def run(batches):
         total = None
         for batch in batches:
             for index in batch.column("words").to_pylist():
                 total = product(total, index)
         if total is not None:
-            n, width = total.shape
+            pieces = [total[i : i + PIECE].tobytes() for i in range(0, len(total), PIECE)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(n, dtype=np.int32)), tx.ragged(total.ravel(), np.full(n, width))], ["row", "value"])
+                [pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "value"])
 
     return run
 
 
+def _add(frame: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x) for x in frame["value"])
+    return pd.DataFrame({"piece": [frame["piece"].iloc[0]], "value": [total.tobytes()]})
+
+
 def _summed(passages: DataFrame, product, shape: tuple[int, int]) -> np.ndarray:
     """The sum over all passages; on the driver it is the block's words, or axes, by its axes."""
-    parts = passages.select("words").mapInArrow(_partial(product), "row int, value array<double>")
-    each = parts.select("row", F.posexplode("value").alias("axis", "value"))
-    sums = each.groupBy("row", "axis").agg(F.sum("value").alias("value")).toPandas()
+    parts = passages.select("words").mapInArrow(_partial(product), "piece int, value binary")
+    rows = parts.groupBy("piece").applyInPandas(_add, "piece int, value binary").collect()
     out = np.zeros(shape)
-    out[sums["row"].to_numpy(), sums["axis"].to_numpy()] = sums["value"].to_numpy()
+    for r in rows:
+        piece = np.frombuffer(bytes(r["value"])).reshape(-1, shape[1])
+        out[r["piece"] * PIECE : r["piece"] * PIECE + len(piece)] = piece
     return out
 
 
@@ -211,9 +221,12 @@ def model(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]]) ->
         return None
     vocabulary = weighed(docs, Vocabulary(np.concatenate(hashes)))
     index = [vocabulary.index(h) for h in hashes]
-    rare = vocabulary.share <= CONTENT
-    content = [at[rare[at]] if rare[at].sum() >= 3 else at for at in index]
-    used = np.zeros(len(rare), bool)
+    content = []
+    for at in index:
+        share = vocabulary.share[at]
+        rare = at[share <= max(CONTENT, float(np.median(share)))] if len(at) else at
+        content.append(rare if len(rare) >= 3 else at)
+    used = np.zeros(len(vocabulary.words), bool)
     used[np.concatenate(content)] = True
     weight = vocabulary.weight = np.where(used, vocabulary.weight, 0.0)
     answer = []
