@@ -11,7 +11,8 @@
    block keeps every axis of its passages, so no passage falls outside the space.
 3. Every document is cut into overlapping windows of words. Those with enough
    weight of benchmark words are projected, and passages with a cosine of
-   ``COSINE`` or more are candidates.
+   ``COSINE`` or more, whose own weight the window covers by ``COVERAGE`` or more
+   (the product before scaling over the passage's length), are candidates.
 4. A candidate is checked around its window: the longest common subsequence of
    weighed words must reach ``SAME`` of the item's, or ``PARAPHRASE`` of them when at least ``ANSWER`` of
    the item's answer, the weighed words of its last sentence, occur there too.
@@ -40,8 +41,8 @@ from pyspark.sql import functions as F
 from filinglens.llm import shared
 from filinglens.llm import text as tx
 
-WINDOW, STRIDE = 48, 16
-COSINE = 0.45
+WINDOW, STRIDE = 48, 24
+COSINE, COVERAGE = 0.45, 0.3
 MASS = 0.4
 CONTENT = 0.02
 SAME, PARAPHRASE, ANSWER = 0.7, 0.45, 0.8
@@ -185,6 +186,7 @@ class Model(NamedTuple):
     vocabulary: Vocabulary
     loading: np.ndarray
     passages: np.ndarray
+    lengths: np.ndarray
     item_of: np.ndarray
     ids: list[int]
     content: list[np.ndarray]
@@ -239,9 +241,11 @@ def model(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]]) ->
     vectors = np.array([value @ loading[at] for at, value in (_row(words, weight) for _, words in rows)])
     vectors /= np.maximum(1e-12, np.linalg.norm(vectors, axis=1, keepdims=True))
     masses = [float((weight[np.array(words)] ** 2).sum()) for _, words in rows]
+    counted = [np.unique(words, return_counts=True) for _, words in rows]
+    lengths = np.array([float(np.sqrt(((n * weight[at]) ** 2).sum())) for at, n in counted])
     return Model(
-        vocabulary, (weight[:, None] * loading).astype(np.float32), vectors.astype(np.float32), np.array([i for i, _ in rows]),
-        [i for i, _ in items], content, answer, [len(at) for at in index], MASS * min(masses))
+        vocabulary, (weight[:, None] * loading).astype(np.float32), vectors.astype(np.float32), lengths.astype(np.float32),
+        np.array([i for i, _ in rows]), [i for i, _ in items], content, answer, [len(at) for at in index], MASS * min(masses))
 
 
 def _windows(w: tx.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,20 +259,20 @@ def _windows(w: tx.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _project(m: Model, at: np.ndarray, hits: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Windows in the latent space, at length 1; ``hits`` are the places of weighed words."""
+    """Windows in the latent space; ``hits`` are the places of weighed words."""
     a, b = np.searchsorted(hits, start), np.searchsorted(hits, end)
     count = b - a
     edge = np.cumsum(count) - count
     each = np.arange(count.sum()) - np.repeat(edge - a, count)
-    z = np.add.reduceat(m.loading[at[hits[each]]], edge, axis=0)  # every window here has a hit
-    return z / np.maximum(1e-12, np.linalg.norm(z, axis=1, keepdims=True))
+    return np.add.reduceat(m.loading[at[hits[each]]], edge, axis=0)  # every window here has a hit
 
 
-def _check(m: Model, item: int, region: np.ndarray) -> tuple[float, float]:
+def _check(m: Model, item: int, region: list[int]) -> tuple[float, float]:
     """Shares of an item's content in order, and of its answer, in a region of word numbers."""
-    content, answer = m.content[item], m.answer[item]
-    same = common_subsequence(content.tolist(), region.tolist()) / max(1, len(content))
-    return same, float(np.isin(answer, region).mean()) if len(answer) else same
+    content, answer = m.content[item].tolist(), m.answer[item].tolist()
+    same = common_subsequence(content, region) / max(1, len(content))
+    held = set(region)
+    return same, sum(x in held for x in answer) / len(answer) if answer else same
 
 
 def _search(sent):
@@ -284,15 +288,17 @@ def _search(sent):
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for i in range(0, len(near), 4096):
             part = near[i : i + 4096]
-            cosine = _project(m, at, hits, start[part], end[part]) @ m.passages.T
-            for j, p in np.argwhere(cosine >= COSINE).tolist():
+            z = _project(m, at, hits, start[part], end[part])
+            product = z @ m.passages.T
+            cosine = product / np.maximum(1e-12, np.linalg.norm(z, axis=1, keepdims=True))
+            for j, p in np.argwhere((cosine >= COSINE) & (product >= COVERAGE * m.lengths)).tolist():
                 text, item = int(own[part[j]]), int(m.item_of[p])
                 before = best.get((text, item))
                 if before and before[1] >= SAME:
                     continue
                 reach = m.sizes[item]
                 region = at[max(w.first[text], start[part[j]] - reach) : min(w.first[text + 1], end[part[j]] + reach)]
-                same, answer = _check(m, item, region)
+                same, answer = _check(m, item, region.tolist())
                 if same >= SAME or (same >= PARAPHRASE and answer >= ANSWER):
                     if not before or same > before[1]:
                         best[text, item] = (float(cosine[j, p]), same, answer)
