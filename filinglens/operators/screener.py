@@ -9,10 +9,10 @@ from .indicators import latest_close, risk_metrics
 
 
 def live_bullish(signals: DataFrame, as_of: Column, min_strength: float = 0.3) -> DataFrame:
-    """Active, unexpired bullish signals with a ticker and enough strength."""
+    """Active, unexpired bullish signals made by ``as_of``, with a ticker and enough strength."""
     return signals.filter(
         F.col("is_active") & (F.col("direction") == "bullish") & (F.col("strength") >= min_strength)
-        & (F.col("ticker") != "") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of)))
+        & (F.col("ticker") != "") & (F.col("created_at") <= as_of) & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of)))
 
 
 def freshness_score(live: DataFrame, as_of: Column) -> DataFrame:
@@ -30,7 +30,7 @@ def candidates(signals: DataFrame, as_of: Column, min_strength: float = 0.3) ->
 def ml_confidence(predictions: DataFrame, trades: DataFrame, as_of: Column) -> DataFrame:
     """Best confidence of a buy or profitable prediction per ticker in 30 days."""
     recent = predictions.filter(
-        F.col("predicted_label").isin("buy", "profitable") & (F.col("created_at") >= as_of - F.expr("interval 30 days")))
+        F.col("predicted_label").isin("buy", "profitable") & F.col("created_at").between(as_of - F.expr("interval 30 days"), as_of))
     best = recent.select("trade_id", "confidence").join(
         trades.filter("ticker is not null").select("trade_id", "ticker"), "trade_id").groupBy("ticker").agg(
         F.max("confidence").alias("c"))

@@ -40,8 +40,9 @@ def _finish(df: DataFrame, as_of: Column) -> DataFrame:
         as_of.alias("created_at"), (as_of + F.make_dt_interval(days=life)).alias("expires_at"), F.lit(True).alias("is_active"))
 
 
-def _since(as_of: Column, days: int) -> Column:
-    return as_of - F.expr(f"interval {days} days")
+def _within(when: Column | str, as_of: Column, days: int) -> Column:
+    """Whether a moment lies in the ``days`` up to ``as_of``, both ends included."""
+    return F.col(when).between(as_of - F.expr(f"interval {days} days"), as_of)
 
 
 def suppress(
@@ -54,7 +55,7 @@ def suppress(
     keys by the order is kept, chosen by an aggregate.
     """
     all_keys = ["signal_type", *keys]
-    recent = signals.filter(F.col("created_at") >= _since(as_of, days)).select(
+    recent = signals.filter(_within("created_at", as_of, days)).select(
         *[F.col(k).alias(f"_{k}") for k in all_keys]).distinct()
     row = F.struct(*candidates.columns)
     first = candidates.groupBy(*[F.col(k).alias(f"_g{k}") for k in all_keys]).agg(
@@ -70,7 +71,7 @@ def _lag() -> Column:
 
 
 def _predicted(predictions: DataFrame, trades: DataFrame, as_of: Column, condition: Column) -> DataFrame:
-    recent = predictions.filter(condition & (F.col("created_at") >= _since(as_of, 7)))
+    recent = predictions.filter(condition & _within("created_at", as_of, 7))
     return recent.select(
         "prediction_id", "trade_id", "predicted_label", "predicted_value", "confidence").join(trades, "trade_id")
 
@@ -111,7 +112,7 @@ def anomaly_alerts(predictions: DataFrame, trades: DataFrame, signals: DataFrame
 
 def _recent_trades(trades: DataFrame, as_of: Column) -> DataFrame:
     return trades.filter(
-        (F.col("transaction_date") >= F.date_sub(as_of.cast("date"), 7))
+        F.col("transaction_date").between(F.date_sub(as_of.cast("date"), 7), as_of.cast("date"))
         & F.col("ticker").isNotNull() & F.col("member_bioguide_id").isNotNull())
 
 
@@ -120,7 +121,7 @@ def sentiment_divergence(
 ) -> DataFrame:
     """Trades of the last week against the member's press of thirty days."""
     mood = (
-        media.filter(F.col("published_date") >= F.date_sub(as_of.cast("date"), 30))
+        media.filter(F.col("published_date").between(F.date_sub(as_of.cast("date"), 30), as_of.cast("date")))
         .select("media_id", F.explode("member_bioguide_ids").alias("member_bioguide_id"))
         .join(sentiment.select("media_id", "sentiment_score"), "media_id")
         .groupBy("member_bioguide_id").agg(F.avg("sentiment_score").alias("mood")))

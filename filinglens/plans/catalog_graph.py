@@ -270,7 +270,7 @@ def _(t):
 
 # ---------------------------------------------------------------- signals
 
-SIGNAL_DAY = "2000-03-15 00:00:00"  # inside the trade and prediction dates
+SIGNAL_DAY = "2001-07-15 00:00:00"  # inside the trade and prediction dates
 
 
 def _as_of():
@@ -291,18 +291,18 @@ SIG = {
           ELSE ['trade_follow','anomaly_alert','sentiment_divergence'][trade_id % 3 + 1] END AS signal_type,
         member_bioguide_id, ticker, CAST(transaction_date AS TIMESTAMP) AS created_at FROM trades
         WHERE trade_id % 5 = 0 AND ticker IS NOT NULL""",
-    "recent_old": f"SELECT * FROM old_signals WHERE created_at >= TIMESTAMP '{SIGNAL_DAY}' - INTERVAL 7 DAY",
+    "recent_old": f"SELECT * FROM old_signals WHERE created_at BETWEEN TIMESTAMP '{SIGNAL_DAY}' - INTERVAL 7 DAY AND TIMESTAMP '{SIGNAL_DAY}'",
     "mood": f"""SELECT member_bioguide_id, avg(sentiment_score) AS mood FROM (SELECT media_id, unnest(member_bioguide_ids) AS member_bioguide_id
-          FROM media WHERE published_date >= DATE '2000-03-15' - 30) m JOIN sentiment s ON s.media_id = m.media_id GROUP BY 1""",
-    "week": "SELECT * FROM trades WHERE transaction_date >= DATE '2000-03-08' AND ticker IS NOT NULL AND member_bioguide_id IS NOT NULL",
+          FROM media WHERE published_date BETWEEN DATE '2001-07-15' - 30 AND DATE '2001-07-15') m JOIN sentiment s ON s.media_id = m.media_id GROUP BY 1""",
+    "week": "SELECT * FROM trades WHERE transaction_date BETWEEN DATE '2001-07-08' AND DATE '2001-07-15' AND ticker IS NOT NULL AND member_bioguide_id IS NOT NULL",
     "cand": f"""SELECT 'trade_follow' AS signal_type, t.member_bioguide_id, t.ticker,
           CASE WHEN predicted_label = 'profitable' THEN 'bullish' ELSE 'bearish' END AS direction, confidence,
           t.disclosure_date - t.transaction_date AS lag, 2 AS kinds, 0 AS cluster, prediction_id AS ord
         FROM predictions p JOIN trades t ON t.trade_id = p.trade_id WHERE prediction_type = 'profitability' AND confidence > 0.7::DOUBLE
-          AND p.created_at >= TIMESTAMP '{SIGNAL_DAY}' - INTERVAL 7 DAY
+          AND p.created_at BETWEEN TIMESTAMP '{SIGNAL_DAY}' - INTERVAL 7 DAY AND TIMESTAMP '{SIGNAL_DAY}'
         UNION ALL SELECT 'anomaly_alert', t.member_bioguide_id, t.ticker, 'neutral', confidence, NULL, 2, 0, prediction_id
         FROM predictions p JOIN trades t ON t.trade_id = p.trade_id WHERE prediction_type = 'anomaly' AND predicted_label = 'anomalous'
-          AND p.created_at >= TIMESTAMP '{SIGNAL_DAY}' - INTERVAL 7 DAY
+          AND p.created_at BETWEEN TIMESTAMP '{SIGNAL_DAY}' - INTERVAL 7 DAY AND TIMESTAMP '{SIGNAL_DAY}'
         UNION ALL SELECT 'sentiment_divergence', t.member_bioguide_id, t.ticker,
           CASE WHEN transaction_type = 'purchase' THEN 'bullish' ELSE 'bearish' END, least(abs(mood) * 2, 1), NULL, 2, 0, trade_id
         FROM week t JOIN mood m ON m.member_bioguide_id = t.member_bioguide_id
@@ -438,13 +438,13 @@ def _fresh_predictions(t):
 SHIFT = "CAST(DATE '2024-01-25' - DATE '2001-08-01' AS INTEGER) * INTERVAL 1 DAY"
 SCREEN = {
     "live": f"""SELECT * FROM signals WHERE is_active AND direction = 'bullish' AND strength >= 0.3::DOUBLE AND ticker IS NOT NULL
-        AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')""",
+        AND created_at <= TIMESTAMP '{NOW}' AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')""",
     "scand": f"""SELECT ticker, avg(strength) AS avg_strength,
         max(least(greatest(1 - (epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at)) / 3.6e9 / 168.0::DOUBLE, 0), 1)) AS freshness,
         count(*) AS signal_count, least(count(*) / 5.0::DOUBLE, 1) AS count_bonus FROM live GROUP BY 1""",
     "sml": f"""SELECT t.ticker, coalesce(nullif(max(p.confidence), 0), 0.5::DOUBLE) AS ml_confidence FROM predictions p
         JOIN trades t ON t.trade_id = p.trade_id WHERE p.predicted_label IN ('buy', 'profitable') AND t.ticker IS NOT NULL
-          AND p.created_at + {SHIFT} >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY GROUP BY 1""",
+          AND p.created_at + {SHIFT} BETWEEN TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND TIMESTAMP '{NOW}' GROUP BY 1""",
     "swin": """SELECT l.ticker, CASE WHEN count(*) < 5 THEN 0.5::DOUBLE ELSE count(*) FILTER (p.actual_return_5d > 0) / count(*) END AS best_win_rate
         FROM (SELECT DISTINCT ticker, member_bioguide_id FROM live WHERE member_bioguide_id IS NOT NULL) l
         JOIN trades t ON t.member_bioguide_id = l.member_bioguide_id JOIN predictions p ON p.trade_id = t.trade_id

@@ -140,7 +140,7 @@ def _(t):
 
 
 @query("a01_trade_totals", f"""SELECT count(*) AS total_trades, count(DISTINCT member_name) AS total_members,
-    count(*) FILTER (disclosure_date >= DATE '{AS_OF_DATE}' - 7) AS recent_trades_7d FROM trades""")
+    count(*) FILTER (disclosure_date BETWEEN DATE '{AS_OF_DATE}' - 7 AND DATE '{AS_OF_DATE}') AS recent_trades_7d FROM trades""")
 def _(t):
     return stats.trade_totals(t.trades, AS_OF_DATE)
 
@@ -158,16 +158,16 @@ def _(t):
 
 @query("a04_media_stats", f"""SELECT 'total_content' AS figure, '' AS key, count(*) AS n FROM media
     UNION ALL SELECT 'by_source_type', source_type, count(*) FROM media GROUP BY 2
-    UNION ALL SELECT 'content_last_7_days', '', count(*) FILTER (published_date >= DATE '{AS_OF_DATE}' - 7) FROM media
+    UNION ALL SELECT 'content_last_7_days', '', count(*) FILTER (published_date BETWEEN DATE '{AS_OF_DATE}' - 7 AND DATE '{AS_OF_DATE}') FROM media
     UNION ALL SELECT 'recent_sentiment', sentiment_label, count(*) FROM sentiment s JOIN media m ON s.media_id = m.media_id
-      WHERE m.published_date >= DATE '{AS_OF_DATE}' - 7 GROUP BY 2""")
+      WHERE m.published_date BETWEEN DATE '{AS_OF_DATE}' - 7 AND DATE '{AS_OF_DATE}' GROUP BY 2""")
 def _(t):
     return stats.media_stats(t.media, t.sentiment, AS_OF_DATE)
 
 
 @query("a05_sentiment_timeline", f"""SELECT {S('m.published_date')} AS date, {R('round(avg(s.sentiment_score), 4)')} AS avg_score,
     count(*) AS count FROM media m JOIN sentiment s ON s.media_id = m.media_id
-    WHERE list_contains(m.member_bioguide_ids, '21') AND m.published_date >= DATE '{AS_OF_DATE}' - 2400 GROUP BY m.published_date""")
+    WHERE list_contains(m.member_bioguide_ids, '21') AND m.published_date BETWEEN DATE '{AS_OF_DATE}' - 2400 AND DATE '{AS_OF_DATE}' GROUP BY m.published_date""")
 def _(t):
     return flat(stats.sentiment_timeline(t.media, t.sentiment, "21", 2400, AS_OF_DATE))
 
@@ -267,7 +267,7 @@ def _(t):
 
 
 @query("a17_freshness", f"""SELECT CASE WHEN n > 0 THEN 'ok' ELSE 'warning' END AS status, n AS recent_trades_7d
-    FROM (SELECT count(*) FILTER (disclosure_date >= DATE '{AS_OF_DATE}' - 7) AS n FROM trades)""")
+    FROM (SELECT count(*) FILTER (disclosure_date BETWEEN DATE '{AS_OF_DATE}' - 7 AND DATE '{AS_OF_DATE}') AS n FROM trades)""")
 def _(t):
     return stats.freshness(t.trades, AS_OF_DATE, "disclosure_date")
 

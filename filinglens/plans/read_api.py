@@ -1,8 +1,8 @@
 """Parameterised read queries.
 
 Every filter argument is optional and adds no predicate when absent. ``limit``
-and ``offset`` page a total order that ends in the key; without a limit the
-whole result is returned in no particular order.
+and ``offset`` page a total order that ends in the key; the order and the offset
+hold without a limit, too.
 """
 
 from __future__ import annotations
@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def page(df: DataFrame, order: Sequence[Column | str], limit: int | None = None, offset: int = 0) -> DataFrame:
-    """One page of a totally ordered result."""
-    if limit is None:
-        return df
-    ordered = df.orderBy(*order)
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+    """One page of a totally ordered result; without a limit, all from the offset on."""
+    rows = df.orderBy(*order)
+    rows = rows.offset(offset) if offset else rows
+    return rows if limit is None else rows.limit(limit)
 
 
 def _where(df: DataFrame, *conditions: Column | None) -> DataFrame:

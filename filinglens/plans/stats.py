@@ -7,13 +7,15 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def _days_before(as_of: date | str, days: int) -> Column:
-    return F.date_sub(F.lit(str(as_of)).cast("date"), days)
+def _within(when: str, as_of: date | str, days: int) -> Column:
+    """Whether a day lies in the ``days`` up to ``as_of``, both ends included."""
+    end = F.lit(str(as_of)).cast("date")
+    return F.col(when).cast("date").between(F.date_sub(end, days), end)
 
 
 def trade_totals(trades: DataFrame, as_of: date | str) -> DataFrame:
     """Number of trades, distinct member names and disclosures of the last week."""
-    recent = F.col("disclosure_date") >= _days_before(as_of, 7)
+    recent = _within("disclosure_date", as_of, 7)
     return trades.agg(
         F.count("*").alias("total_trades"), F.count_distinct("member_name").alias("total_members"),
         F.count_if(recent).alias("recent_trades_7d"))
@@ -33,7 +35,7 @@ def top_members(trades: DataFrame, n: int = 10) -> DataFrame:
 
 def media_stats(media: DataFrame, sentiment: DataFrame, as_of: date | str) -> DataFrame:
     """Rows (figure, key, n): total, by source, last week, last week's labels."""
-    week = F.col("published_date") >= _days_before(as_of, 7)
+    week = _within("published_date", as_of, 7)
     by_source = media.groupBy("source_type").agg(F.count("*").alias("n"), F.count_if(week).alias("n7"))
     figure = lambda name, key, n: F.struct(
         F.lit(name).alias("figure"), key.alias("key"), F.col(n).alias("n"))
@@ -52,7 +54,7 @@ def sentiment_timeline(media: DataFrame, sentiment: DataFrame, member: str, days
     """Daily mean score of a member's media since ``days`` before."""
     return (
         media.filter(F.array_contains("member_bioguide_ids", member))
-        .filter(F.col("published_date") >= _days_before(as_of, days)).select("media_id", "published_date")
+        .filter(_within("published_date", as_of, days)).select("media_id", "published_date")
         .join(sentiment.select("media_id", "sentiment_score"), "media_id")
         .groupBy(F.col("published_date").alias("date"))
         .agg(F.round(F.avg("sentiment_score"), 4).alias("avg_score"), F.count("*").alias("count")))
@@ -139,7 +141,7 @@ def trade_degree(trades: DataFrame) -> DataFrame:
 
 def freshness(trades: DataFrame, as_of: date | str, loaded: str = "created_at") -> DataFrame:
     """Rows loaded in the last week, and whether there are any."""
-    n = F.count_if(F.col(loaded) >= _days_before(as_of, 7))
+    n = F.count_if(_within(loaded, as_of, 7))
     return trades.agg(n.alias("recent_trades_7d")).select(
         F.when(F.col("recent_trades_7d") > 0, "ok").otherwise("warning").alias("status"), "recent_trades_7d")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +33,14 @@ def local_session(app: str = "filinglens", cores: str = "8", **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local runs and tests) is a fresh local
-    folder chosen and set.
+    Only a local session that names none gets a fresh local folder; a cluster
+    without one is refused, as its executors share no local disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         context_dir = spark.sparkContext.getCheckpointDir()
+        if not context_dir and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = context_dir or tempfile.mkdtemp(prefix="filinglens-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
