@@ -16,13 +16,14 @@ from .. import constants as K
 from ..operators import merge, metrics
 from ..plans.dataset import build_dataset, clean, select_features
 from ..session import durable, shared_dir
-from .anomaly import fit_anomaly, score_anomaly
+from .anomaly import Forest, fit_anomaly, score_anomaly
 from .folds import final_split, positioned, purged_folds
 
-CLASSIFIER = {"maxIter": 50, "maxDepth": 5, "stepSize": 0.05, "minInstancesPerNode": 20, "seed": 42}
-REGRESSOR = {"maxIter": 50, "maxDepth": 5, "stepSize": 0.05, "seed": 42}
+CLASSIFIER = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "minInstancesPerNode": 20, "seed": 42}
+REGRESSOR = {"maxIter": 300, "maxDepth": 5, "stepSize": 0.1, "seed": 42}
+BOOSTED = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "minInstancesPerNode": 20, "seed": 42}
 SEARCH = {
-    "maxIter": (20, 100), "maxDepth": (3, 8), "stepSize": (0.01, 0.2), "minInstancesPerNode": (10, 100),
+    "maxIter": (200, 1000), "maxDepth": (3, 8), "stepSize": (0.01, 0.2), "minInstancesPerNode": (10, 100),
     "subsamplingRate": (0.6, 1.0), "featureSubset": (0.6, 1.0),
 }
 
@@ -56,7 +57,7 @@ def fit_boosted(train: DataFrame, columns: list[str], held_share: float = 0.2, *
     """Second classifier that stops on a held-out hash share of its rows."""
     held = F.pmod(F.xxhash64("trade_id"), F.lit(1000)) < int(held_share * 1000)
     gbt = GBTClassifier(
-        labelCol="profitable", weightCol="_weight", validationIndicatorCol="_held", **{**CLASSIFIER, **params})
+        labelCol="profitable", weightCol="_weight", validationIndicatorCol="_held", **{**BOOSTED, **params})
     return _pipeline(columns, gbt).fit(balanced(train).withColumn("_held", held))
 
 
@@ -221,10 +222,43 @@ def score_trades(df: DataFrame, models: dict, columns: list[str], artifact_ids:
     return out.unionByName(by_proba("boosted", "boosted_proba")) if "boosted" in models else out
 
 
-def train_all(t, options, folds: int = 5, params: dict | None = None, trees: int = 200, at: datetime | None = None) -> DataFrame:
+ARTIFACT = ("artifact_id long, model_name string, model_version string, artifact_path string, feature_columns array<string>, "
+            "trained_at timestamp")
+
+
+def save_models(spark, models: dict, columns: list[str], root: str, at: datetime, first_id: int = 0) -> DataFrame:
+    """Write every model below ``root`` under the version of ``at``; one artifact row each, numbered from ``first_id``."""
+    version, saved = at.strftime("%Y%m%d_%H%M%S"), []
+    for i, (name, model) in enumerate(models.items()):
+        path = f"{root}/{name}/{version}"
+        if name == "anomaly_detector":
+            model.write(spark, path)
+        else:
+            model.write().overwrite().save(path)
+        saved.append((first_id + i, name, version, path, columns, at))
+    return spark.createDataFrame(saved, ARTIFACT)
+
+
+def load_active(artifacts: DataFrame) -> tuple[dict, list[str], dict[str, int]]:
+    """(models by name, their feature columns, artifact ids) of the active artifacts, as ``score_trades`` takes them."""
+    spark = artifacts.sparkSession
+    models, columns, ids = {}, [], {}
+    for r in artifacts.where("is_active").orderBy("artifact_id").collect():  # one row per model
+        name, path = r["model_name"], r["artifact_path"]
+        models[name] = Forest.read(spark, path) if name == "anomaly_detector" else PipelineModel.load(path)
+        if columns and list(r["feature_columns"]) != columns:
+            raise ValueError(f"{name} was trained on other columns than the models before it")
+        columns, ids[name] = list(r["feature_columns"]), r["artifact_id"]
+    return models, columns, ids
+
+
+def train_all(t, options, folds: int = 5, params: dict | None = None, trees: int = 200, at: datetime | None = None,
+              artifacts: DataFrame | None = None) -> DataFrame:
     """Train, evaluate, save under the shared folder and activate.
 
-    Returns the artifact table: model, version, path, metrics, active flag.
+    Returns the artifact table: model, version, path, metrics, active flag. The
+    version is that of ``at``, or of the options' as_of. Earlier ``artifacts`` stay
+    in the table, inactive; new ids follow theirs.
     """
     data = durable(build_dataset(t, options))
     columns = select_features(data)
@@ -232,22 +266,16 @@ def train_all(t, options, folds: int = 5, params: dict | None = None, trees: int
     rows = positioned(clean(data, columns))
     fold = final_split(rows)
     models = fit_all(rows.filter(fold.train()) if fold else rows, columns, params, trees)
-    version = (at or datetime(2001, 1, 1)).strftime("%Y%m%d_%H%M%S")
+    first = 0 if artifacts is None else artifacts.agg(F.coalesce(F.max("artifact_id") + 1, F.lit(0))).first()[0]
     root = f"{shared_dir(data.sparkSession)}/models"
-    saved = []
-    for i, (name, model) in enumerate(models.items()):
-        path = f"{root}/{name}/{version}"
-        if name == "anomaly_detector":
-            model.write(data.sparkSession, path)
-        else:
-            model.write().overwrite().save(path)
-        saved.append((i, name, version, path, columns, at or datetime(2001, 1, 1)))
-    table = data.sparkSession.createDataFrame(
-        saved, "artifact_id long, model_name string, model_version string, artifact_path string, "
-               "feature_columns array<string>, trained_at timestamp")
+    table = save_models(
+        data.sparkSession, models, columns, root, at or datetime.combine(options.as_of, datetime.min.time()), first)
     measured = summary.groupBy(F.col("model").alias("model_name")).agg(
         F.map_from_entries(F.collect_list(F.struct("metric", "mean"))).alias("metrics"))
-    return merge.activate_latest(table.join(measured, "model_name", "left"))
+    table = table.join(measured, "model_name", "left")
+    if artifacts is not None:
+        table = table.unionByName(artifacts.select(*table.columns))
+    return merge.activate_latest(table)
 
 
 def compare_horizons(t, base_options, horizons: list[str], folds: int = 5, params: dict | None = None, trees: int = 200) -> DataFrame:

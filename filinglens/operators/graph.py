@@ -275,9 +275,9 @@ def committee_overlap(edges: DataFrame, limit: int | None = 50) -> DataFrame:
 def connections(edges: DataFrame, members: Sequence[str] | None = None) -> DataFrame:
     """Per member: companies with trade counts, lobbying links, donors among them.
 
-    Links are counted from the number of firms per company. The links themselves
-    (lobbying_connections) are listed only when members are asked for: for all
-    members they would repeat every firm of a company for each of its traders.
+    Links are counted from the number of firms per company and listed, with a
+    company's firms, as lobbying_connections; the schema is the same for all
+    members as for some.
     """
     trades = _rel(edges, "TRADED", "member", "ticker")
     donors = _rel(edges, "DONATED_TO", "ticker", "member", "total_amount", "contribution_count")
@@ -294,8 +294,6 @@ def connections(edges: DataFrame, members: Sequence[str] | None = None) -> DataF
         F.array_sort(F.collect_list(gift)).alias("donation_connections"),
         F.count("*").alias("companies_traded"), F.coalesce(F.sum("firms"), F.lit(0)).alias("lobbying_link_count"),
         F.count("contribution_count").alias("donation_link_count"))
-    if members is None:
-        return out
     links = per.join(firms, "ticker").groupBy("member").agg(
         F.array_sort(F.collect_list(F.struct("ticker", "firm"))).alias("lobbying_connections"))
     return out.join(links, "member", "left")
