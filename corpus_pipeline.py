@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from filinglens.llm import decontamination, jaccard_join, mixing, quality_classifier, sharding
 from filinglens.llm import text as tx

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from filinglens.llm import decontamination, html_extraction, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, token_counts
+from filinglens.llm import (
+    decontamination, html_extraction, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sharding,
+    substring_dedup, token_counts,
+)
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,

@@ -63,7 +63,7 @@ def texts(column: pa.Array, chunk: int = CHUNK) -> Iterator[Texts]:
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_binary()) if column.type in (pa.string(), pa.binary()) else column.cast(pa.large_binary())
+    column = column.cast(pa.large_binary())
     buffers = column.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)

@@ -4,7 +4,6 @@ import random
 import re
 
 import corpus_pipeline
-from pyspark.sql import functions as F
 
 from filinglens.llm import decontamination, jaccard_join
 from filinglens.llm.components import components
