@@ -5,14 +5,14 @@ returns a DataFrame, which the driver writes as Parquet and reads again as the
 next one's ``docs``. All but the last return the columns of ``documents``.
 
 1. quality: documents that the classifier scores below its threshold go.
-2. near_duplicates: of each component of the Jaccard join, the smallest doc_id stays.
+2. near_duplicates: of each component of the Jaccard join, one row stays, of the smallest doc_id.
 3. decontamination: documents that leak a benchmark item go.
 4. mixing: rates keep the tokens of the clean and low domains and bring the toxic
    domain's to none; each document is written as often as its rate, rounded, says.
 5. sharding: each document gets its slot and shard.
 
-Rows without a doc_id have no component to share and stay in stage 2. Extra
-columns pass through every stage.
+Stage 2 goes by rows: an id with two texts has two places, and rows without a
+doc_id take part. Rows without words stay in it. Extra columns pass through every stage.
 """
 
 from __future__ import annotations

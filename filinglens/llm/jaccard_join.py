@@ -489,12 +489,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their component; of rows that repeat a doc_id, the same
-    text once. A row without doc_id or shingles stays."""
-    found = near_duplicates(docs).where("doc_id IS NOT NULL AND doc_id <> component_id")
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    return kept
+    """One row of each component of ``docs``: the smallest doc_id, rows without one last, then by a hash of the row.
+
+    Components are those of the rows, whatever their doc_id: a row goes by its own text only. Rows that are equal in
+    every column count as one. A row without shingles stays.
+    """
+    node = tx.row_hash(docs)
+    rows = docs.withColumn("_node", node)
+    found = near_duplicates(docs.select(node.alias("doc_id"), "text")).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("_node")).agg(
+        F.min("component_id").alias("component"), F.count("*").alias("copies"))
+    ids = rows.select("_node", F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    found = durable(found.join(ids, "_node"))
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_node")).alias("best"))
+    best = best.select(F.col("best._node").alias("_node"))
+    gone = found.join(best, "_node", "left_anti").select("_node")
+    repeated = durable(found.where("copies > 1").join(best, "_node", "left_semi").select("_node"))
+    if repeated.isEmpty():
+        return rows.join(gone, "_node", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = rows.join(repeated, "_node", "left_semi").dropDuplicates(["_node"])
+    kept = rows.join(gone.unionByName(repeated), "_node", "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

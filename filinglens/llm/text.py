@@ -9,6 +9,7 @@ one longer text.
 from __future__ import annotations
 
 import pickle
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -16,7 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
@@ -183,6 +184,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_hash(df: DataFrame, salt: str = "") -> Column:
+    """A hash of all columns of a row that can be hashed, nulls told apart."""
+    columns = [F.col(f"`{f.name}`") for f in df.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    return F.xxhash64(F.lit(salt), *columns, *[c.isNull() for c in columns])
+
+
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id as long and text, whatever else the table has."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)

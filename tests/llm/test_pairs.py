@@ -98,6 +98,21 @@ def test_representatives(spark):
     assert sorted(r["n_chars"] for r in kept.collect()) == [2, 3, 4, 5]
 
 
+def test_representatives_go_by_row(spark):
+    x, y = "a b c d e f g h", "some quite other words than those"
+    rows = [
+        (1, x, 1), (1, x, 1), (1, x, 1), (2, x, 2),  # repeated rows of the smallest id
+        (2, y, 3),  # an id with two texts, one of them a copy
+        (None, "A b c d e f g h", 4),  # a copy without an id
+        (None, "no id here at all", 5), (None, "no id here at all", 5), (None, "no id here at all", 6),
+        (4, None, 7), (4, "", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    kept = [tuple(r) for r in jaccard_join.representatives(frame.repartition(3)).collect()]
+    texts = [r[:2] for r in kept]
+    assert sorted(r[2] for r in kept if r[1] and r[0]) == [1, 3] and len(kept) == 5
+    assert texts.count((None, "no id here at all")) == 1 and (4, None, 7) in kept and (4, "", 8) in kept
+
+
 def test_components(spark):
     rng = random.Random(1)
     for nodes, n in ((40, 25), (300, 280), (10, 0)):
