@@ -15,6 +15,9 @@
 At most about ``MAX_LABELLED`` labelled rows train the classifier (picked by a
 hash of doc_id where there are more); every document counts in the totals.
 
+3. ``mixed`` writes a row as often as its rate: the whole part, and one more where
+   a hash of the row lies below the fraction, so the written tokens meet the totals.
+
 A null or empty text has no tokens: its rate follows its prior posterior and adds
 nothing. Without labels every posterior is the prior of an untrained model. A
 domain without tokens cannot be raised and is left out of the fit. Repeated rows
@@ -23,6 +26,8 @@ count repeatedly. Columns of the documents pass through ``mixed`` unchanged.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,6 +38,8 @@ from filinglens.llm import quality_classifier as qc
 from filinglens.llm import text as tx
 from filinglens.session import durable
 
+_LOG = logging.getLogger(__name__)
+
 DOMAINS = ("clean", "low", "toxic")
 #: Target shares of all tokens of the registered query.
 WEIGHTS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
@@ -40,8 +47,8 @@ DIM = 1 << 18
 MAX_LABELLED = 20000
 SHARDS, EPOCHS = 4, 4
 RATES = {"alpha": 0.5, "beta": 1.0, "l1": 0.5, "l2": 0.0}
-#: The fit ends when every total is this close to its target, or a step moves none by as much as the second.
-STEPS, CLOSE, STILL = 40, 1e-4, 1e-3
+#: The fit ends when every total is this close to its target, or after so many steps, which it then says.
+STEPS, CLOSE = 40, 1e-4
 #: Bytes of word beginnings that are features, for words that are longer.
 BEGINNINGS = (4, 7)
 #: Bounds, in percent of the words, between the places for texts that repeat words in a row.
@@ -148,7 +155,7 @@ def rate(steps: list[list[float]]) -> Column:
 
 
 def fit_rates(rows: DataFrame, targets) -> list[list[float]]:
-    """Projected gradient steps until every domain total is ``CLOSE`` to its target, or a step moves none by ``STILL``.
+    """Projected gradient steps until every domain total is ``CLOSE`` to its target; a warning gives the gap if none is.
 
     ``targets`` maps the present totals by domain to the wanted ones.
     """
@@ -166,12 +173,14 @@ def fit_rates(rows: DataFrame, targets) -> list[list[float]]:
     if top <= 0:
         return []
     steps: list[list[float]] = []
-    totals, before = present, np.full(k, np.inf)
-    for _ in range(STEPS):
+    totals = present
+    for n in range(STEPS + 1):
         miss = (totals - wanted) * scale * scale  # as shares of the present totals
-        if np.abs(miss).max() < CLOSE or np.abs(miss - before).max() < STILL:
+        if np.abs(miss).max() < CLOSE:
+            break
+        if n == STEPS:
+            _LOG.warning("after %d steps the totals miss their targets by these shares: %s", n, dict(zip(DOMAINS, miss.tolist())))
             break
-        before = miss
         steps.append((miss / top).tolist())
         r = rate(steps)
         totals = np.array(rows.agg(*[F.sum(tokens * a * r).alias(f"s{i}") for i, a in enumerate(p)]).first(), float)
@@ -188,12 +197,18 @@ def by_multiples(multiples: dict[str, float]):
     return lambda present: {d: multiples.get(d, 1.0) * v for d, v in present.items()}
 
 
+def copies(docs: DataFrame, rate: Column) -> Column:
+    """How often a row is written: its rate's whole part, once more if its hash lies below the fraction."""
+    draw = F.pmod(tx.row_hash(docs, "mix"), F.lit(1 << 30)) / F.lit(1 << 30)
+    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int")
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets) -> DataFrame:
-    """The documents' own columns, each row as often as its rate says, to the nearest whole number."""
+    """The documents' own columns, each row as often as its rate says on average."""
     weights = classifier(docs, labels)
     steps = fit_rates(durable(posteriors(docs, weights, [])), targets)
-    copies = F.floor(rate(steps) + 0.5).cast("int")
-    rows = posteriors(docs, weights, docs.columns).withColumn("_mix_copies", copies).where("_mix_copies > 0")
+    rows = posteriors(docs, weights, docs.columns)
+    rows = rows.withColumn("_mix_copies", copies(docs, rate(steps))).where("_mix_copies > 0")
     rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -280,6 +280,22 @@ def test_mixing_meets_targets(spark):
     assert rows.where("rate < 0 OR abs(p_clean + p_low + p_toxic - 1) > 1e-9").count() == 0
 
 
+def test_mixed_rows_meet_targets(spark):
+    sf = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    weights, targets = mixing.classifier(table, labels), mixing.by_weights(mixing.WEIGHTS)
+    rows = mixing.posteriors(table, weights, []).cache()
+    steps = mixing.fit_rates(rows, targets)
+    part = mixing.rate(steps) - F.floor(mixing.rate(steps))
+    mass = [F.col("_mix_tokens") * F.col(f"_mix_{d}") for d in mixing.DOMAINS]
+    before = rows.agg(*[F.sum(m) for m in mass]).first()
+    spread = rows.agg(*[F.sqrt(F.sum(m * m * part * (1 - part))) for m in mass]).first()  # of a fair draw
+    after = mixing.posteriors(mixing.mixed(table, labels, targets), weights, []).agg(*[F.sum(m) for m in mass]).first()
+    wanted = targets(dict(zip(mixing.DOMAINS, before)))
+    for domain, got, sigma in zip(mixing.DOMAINS, after, spread):
+        assert abs(got - wanted[domain]) <= 3 * sigma < wanted[domain]
+
+
 def test_mixing_on_edges(spark):
     frame = docs(spark, *EDGES)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
