@@ -19,6 +19,8 @@ Windows are judged on the input texts. Words are maximal runs other than space
 and \\x09-\\x0D, compared unchanged by 64-bit hashes. A null or empty text, or one
 of fewer than ``length`` words, has no window and keeps all its words. Rows that
 repeat a doc_id are judged one by one as that document, not against each other.
+Rows without a doc_id have no place in the order: they keep all their words and
+are no one's first holder, as in the SQL.
 Extra columns are ignored.
 """
 
@@ -108,6 +110,7 @@ def _repeats_of(batch: pa.RecordBatch, t: tx.Texts, bits: np.ndarray, length: in
     owner = np.repeat(np.arange(len(t)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     repeat = np.zeros(len(v.start), bool)
     repeat[near] = ~(earliest & np.isin(key, _keyed(held, owner)))
+    repeat &= batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[v.own]
     return v, repeat
 
 

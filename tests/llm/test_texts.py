@@ -101,6 +101,16 @@ def test_dedup_empty_and_repeated_ids(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.dedup(twice).collect()) == [(1, 0), (1, 0), (2, 30)]
 
 
+def test_dedup_keeps_rows_without_id(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    mixed = " ".join(f"w{i}" if 10 <= i < 19 else f"v{i}" for i in range(40))  # shares an anchor's words, but no window
+    rows = [(1, same), (2, same), (None, same), (None, same), (None, mixed)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.dedup(frame).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (0, 0), (0, 0), (1, 0), (2, 40)]
+    assert {r["doc_id"] for r in substring_dedup.repeats(frame).collect()} == {2}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><header><h1>Big  news</h1></header><p>First &amp; <b>foremost</b><br>second&nbsp;line<p>Third &lt;one&gt;
