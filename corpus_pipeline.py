@@ -7,8 +7,9 @@ next one's ``docs``. All but the last return the columns of ``documents``.
 1. quality: documents that the classifier scores below its threshold go.
 2. near_duplicates: of each component of the Jaccard join, one row stays, of the smallest doc_id.
 3. decontamination: documents that leak a benchmark item go.
-4. mixing: rates bring the domains to the shares WEIGHTS of all tokens; each row is
-   written as often as its rate, its fraction drawn by a hash of the row.
+4. mixing: rates keep the tokens of the clean and low domains and bring the toxic
+   domain's towards none; each row is written as often as its rate, its fraction
+   drawn by a hash of the row.
 5. sharding: each document gets its slot and shard.
 
 Stage 2 goes by rows: an id with two texts has two places, and rows without a
@@ -46,8 +47,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The domains at their shares of all tokens."""
-    return mixing.mixed(docs, tx.table(spark, sf_dir, "labels"), mixing.by_weights(mixing.WEIGHTS))
+    """The clean and low domains at their present totals, the toxic domain at none."""
+    return mixing.mixed(docs, tx.table(spark, sf_dir, "labels"), mixing.by_multiples({"clean": 1.0, "low": 1.0, "toxic": 0.0}))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
