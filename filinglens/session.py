@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,33 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage, so a lost executor costs nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Intermediate tables of one run, in a folder of their own below ``shared_dir``.
+
+    ``keep`` writes a frame and reads it again, which cuts its lineage as a
+    checkpoint does, but compressed and column by column. ``drop`` deletes kept
+    tables that no later step reads; what a returned frame still reads has to stay.
+    """
+
+    def __init__(self, spark: SparkSession, stem: str):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+        self.kept: list[tuple[DataFrame, str]] = []
+        self.made = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.made}"
+        self.made += 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for frame, path in [k for k in self.kept if any(k[0] is f for f in frames)]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            self.kept.remove((frame, path))
