@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from filinglens.llm import (
-    decontamination, html_extraction, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sharding,
+    decontamination, html_extraction, jaccard_join, merkle_manifest, mixing, quality_classifier, quality_rules, secret_scan, sharding,
     substring_dedup, token_counts,
 )
 
@@ -18,9 +18,11 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
 }
 ORACLES = {
     "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op12_merkle_manifest": merkle_manifest.OP12_SQL,
 }
