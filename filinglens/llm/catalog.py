@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from filinglens.llm import (
-    decontamination, html_extraction, jaccard_join, merkle_manifest, mixing, quality_classifier, quality_rules, secret_scan, sharding,
-    substring_dedup, token_counts,
+    circulant_minhash, decontamination, html_extraction, jaccard_join, merkle_manifest, mixing, quality_classifier, quality_rules,
+    secret_scan, sharding, substring_dedup, token_counts,
 )
 
 QUERIES = {
@@ -19,10 +19,12 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_minhash_dedup": circulant_minhash.op13_minhash_dedup,
 }
 ORACLES = {
     "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
     "op12_merkle_manifest": merkle_manifest.OP12_SQL,
+    "op13_minhash_dedup": circulant_minhash.OP13_SQL,
 }

@@ -146,7 +146,7 @@ def _ids(batch) -> np.ndarray:
     return batch.column("doc_id").to_numpy(zero_copy_only=False)
 
 
-def _by_id(ids: DataFrame) -> DataFrame:
+def by_id(ids: DataFrame) -> DataFrame:
     """Keys of doc_id values whose bits ``_id_key`` finds: the same mixer in Spark."""
     def work(batches):
         for batch in batches:
@@ -155,7 +155,7 @@ def _by_id(ids: DataFrame) -> DataFrame:
     return ids.select("doc_id").mapInArrow(work, "key long")
 
 
-def _only(docs: DataFrame, bits) -> DataFrame:
+def only(docs: DataFrame, bits) -> DataFrame:
     """Rows whose doc_id may be in the bits."""
     def work(batches):
         for batch in batches:
@@ -286,7 +286,7 @@ def _second_links(docs: DataFrame, labelled: DataFrame, links: DataFrame) -> Dat
     rows = durable(rows.join(several, "x").select(
         F.xxhash64("x").alias("key"), F.pmod("doc_id", F.ceil(F.col("c") / F.lit(GROUP))).alias("salt"),
         (-F.col("degree")).alias("rank"), "doc_id"))
-    found = _only(docs, shared.send(docs, shared.bit_array(_by_id(rows))))
+    found = only(docs, shared.send(docs, shared.bit_array(by_id(rows))))
     return _clustered(rows.join(found, "doc_id").select("key", "salt", "rank", "doc_id", "text"))
 
 
@@ -413,7 +413,7 @@ def _candidates(docs: DataFrame, labelled: DataFrame, reps) -> DataFrame:
     lists = durable(known.mapInArrow(_prefixes(reps, bits), schema).join(labelled.select("doc_id", "component"), "doc_id"))
     spread = shared.send(docs, shared.spread(lists.select(F.explode("key").alias("key"), "component"), F.col("component")))
     live = durable(lists.mapInArrow(_live(spread), "doc_id long, component long"))
-    ids = shared.send(docs, shared.bit_array(_by_id(live)))
+    ids = shared.send(docs, shared.bit_array(by_id(live)))
     levels = shared.send(docs, shared.levels(known.mapInArrow(_rare_first(ids), "key long, n long"), LEVELS))
     schema = schema.replace("place", "most long, place")
     rows = known.mapInArrow(_rare_first(ids, levels), schema).join(live, "doc_id").select(
@@ -460,7 +460,7 @@ def _small_batches(work, size=64):
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that reach the threshold on their whole sets."""
     ends = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    found = durable(_only(docs, shared.send(docs, shared.bit_array(_by_id(ends)))).join(ends, "doc_id", "left_semi"))
+    found = durable(only(docs, shared.send(docs, shared.bit_array(by_id(ends)))).join(ends, "doc_id", "left_semi"))
     left = found.select(F.col("doc_id").alias("u"), F.col("text").alias("a"))
     right = found.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
     return pairs.join(left, "u").join(right, "v").mapInArrow(_small_batches(_verify), "u long, v long")
@@ -473,7 +473,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = durable(
         sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(
             F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(N_MINS)]))
-    reps = shared.send(rows, shared.bit_array(_by_id(classes)))
+    reps = shared.send(rows, shared.bit_array(by_id(classes)))
     links = durable(_quick_links(rows, classes, reps))
     labelled = durable(_labelled(classes, links))
     links = durable(links.unionByName(_second_links(rows, labelled, links)))
