@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from filinglens.llm import (
-    circulant_minhash, decontamination, html_extraction, jaccard_join, merkle_manifest, mixing, quality_classifier, quality_rules,
+    circulant_minhash, conversation_repair, decontamination, html_extraction, jaccard_join, merkle_manifest, mixing, quality_classifier, quality_rules,
     secret_scan, sharding, substring_dedup, token_counts,
 )
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
     "op13_minhash_dedup": circulant_minhash.op13_minhash_dedup,
 }
@@ -25,6 +26,7 @@ ORACLES = {
     "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op11_conversation_repair": conversation_repair.OP11_SQL,
     "op12_merkle_manifest": merkle_manifest.OP12_SQL,
     "op13_minhash_dedup": circulant_minhash.OP13_SQL,
 }
