@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filinglens.session import durable
+from filinglens.session import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,9 +37,11 @@ def _stars(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node), for the ends of the edges (u, v); longs."""
-    now = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _stars(now):
-        now = durable(_small_star(_large_star(now)))
+        before, now = now, scratch.keep(_small_star(_large_star(now)))
+        scratch.drop(before)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from filinglens.llm import shared
 from filinglens.llm import text as tx
 from filinglens.llm.components import components
-from filinglens.session import durable
+from filinglens.session import Scratch
 
 SHINGLE = 5
 HOT = 64
@@ -274,7 +274,7 @@ def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
         classes["*"], F.coalesce("component", "doc_id").alias("component"))
 
 
-def _second_links(docs: DataFrame, labelled: DataFrame, links: DataFrame) -> DataFrame:
+def _second_links(docs: DataFrame, labelled: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Links between components that share another min-hash, by the best linked member of each."""
     ends = links.select(F.col("u").alias("doc_id")).unionByName(links.select(F.col("v").alias("doc_id")))
     degree = ends.groupBy("doc_id").agg(F.count("*").alias("degree"))
@@ -283,11 +283,13 @@ def _second_links(docs: DataFrame, labelled: DataFrame, links: DataFrame) -> Dat
         F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("m")) for i in range(N_MINS)])).alias("x"))
     rows = rows.groupBy("x", "component").agg(F.max_by("doc_id", "degree").alias("doc_id"), F.max("degree").alias("degree"))
     several = rows.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
-    rows = durable(rows.join(several, "x").select(
+    rows = scratch.keep(rows.join(several, "x").select(
         F.xxhash64("x").alias("key"), F.pmod("doc_id", F.ceil(F.col("c") / F.lit(GROUP))).alias("salt"),
         (-F.col("degree")).alias("rank"), "doc_id"))
     found = only(docs, shared.send(docs, shared.bit_array(by_id(rows))))
-    return _clustered(rows.join(found, "doc_id").select("key", "salt", "rank", "doc_id", "text"))
+    out = scratch.keep(_clustered(rows.join(found, "doc_id").select("key", "salt", "rank", "doc_id", "text")))
+    scratch.drop(rows)
+    return out
 
 
 def _longest(n):
@@ -405,25 +407,28 @@ def _choose(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
 
-def _candidates(docs: DataFrame, labelled: DataFrame, reps) -> DataFrame:
+def _candidates(docs: DataFrame, labelled: DataFrame, reps, scratch: Scratch) -> DataFrame:
     """Pairs of representatives in different components that reach the required prefix matches."""
     counted = docs.mapInArrow(_prefixes(reps), "key long, n long")
     bits = shared.send(docs, shared.repeated(counted))
     known, schema = docs.where("doc_id IS NOT NULL"), "doc_id long, n long, place array<int>, key array<long>"
-    lists = durable(known.mapInArrow(_prefixes(reps, bits), schema).join(labelled.select("doc_id", "component"), "doc_id"))
+    lists = scratch.keep(known.mapInArrow(_prefixes(reps, bits), schema).join(labelled.select("doc_id", "component"), "doc_id"))
     spread = shared.send(docs, shared.spread(lists.select(F.explode("key").alias("key"), "component"), F.col("component")))
-    live = durable(lists.mapInArrow(_live(spread), "doc_id long, component long"))
+    live = scratch.keep(lists.mapInArrow(_live(spread), "doc_id long, component long"))
+    scratch.drop(lists)
     ids = shared.send(docs, shared.bit_array(by_id(live)))
     levels = shared.send(docs, shared.levels(known.mapInArrow(_rare_first(ids), "key long, n long"), LEVELS))
     schema = schema.replace("place", "most long, place")
     rows = known.mapInArrow(_rare_first(ids, levels), schema).join(live, "doc_id").select(
         "doc_id", "component", "n", "most", F.explode(F.arrays_zip("place", "key")).alias("x"))
-    rows = durable(rows.select("doc_id", "component", "n", "most", "x.place", "x.key"))
-    df = rows.groupBy("key").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rows = rows.join(df.where("lo < hi").select("key", "df"), "key")
+    shingles = scratch.keep(rows.select("doc_id", "component", "n", "most", "x.place", "x.key"))
+    scratch.drop(live)
+    df = shingles.groupBy("key").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rows = shingles.join(df.where("lo < hi").select("key", "df"), "key")
     per_doc = rows.groupBy("doc_id", "component", "n", "most").agg(F.collect_list(F.struct("place", "key", "df")).alias("items"))
-    chosen = durable(per_doc.mapInArrow(
+    chosen = scratch.keep(per_doc.mapInArrow(
         _choose, "key long, place long, doc_id long, component long, n long, cap long, l long, need long"))
+    scratch.drop(shingles)
     both = F.expr("(4 * (a.n + b.n) + 8) div 9")  # the least overlap of two linked sets of these sizes
     l = F.coalesce(F.least("a.l", "b.l"), F.lit(1))
     need = (
@@ -436,7 +441,10 @@ def _candidates(docs: DataFrame, labelled: DataFrame, reps) -> DataFrame:
         & (100 * F.col("a.n") >= 80 * F.col("b.n")) & (100 * F.col("b.n") >= 80 * F.col("a.n"))
         & (F.col("a.place") < F.col("a.n") - both + l) & (F.col("b.place") < F.col("b.n") - both + l))
     pairs = met.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v"), need.alias("need"))
-    return pairs.groupBy("u", "v").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("u", "v")
+    pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("c"), F.min("need").alias("need"))
+    out = scratch.keep(pairs.where("c >= need").select("u", "v"))
+    scratch.drop(chosen)
+    return out
 
 
 def _verify(batches):
@@ -457,59 +465,113 @@ def _small_batches(work, size=64):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs that reach the threshold on their whole sets."""
     ends = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    found = durable(only(docs, shared.send(docs, shared.bit_array(by_id(ends)))).join(ends, "doc_id", "left_semi"))
+    found = scratch.keep(only(docs, shared.send(docs, shared.bit_array(by_id(ends)))).join(ends, "doc_id", "left_semi"))
     left = found.select(F.col("doc_id").alias("u"), F.col("text").alias("a"))
     right = found.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
-    return pairs.join(left, "u").join(right, "v").mapInArrow(_small_batches(_verify), "u long, v long")
+    out = scratch.keep(pairs.join(left, "u").join(right, "v").mapInArrow(_small_batches(_verify), "u long, v long"))
+    scratch.drop(found)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
     rows = tx.documents(docs)
-    sketch = durable(sketches(rows))
-    classes = durable(
+    sketch = scratch.keep(sketches(rows))
+    classes = scratch.keep(
         sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(
             F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(N_MINS)]))
+    found = scratch.keep(sketch.select("doc_id", "n", "s1", "s2"))
+    scratch.drop(sketch)
     reps = shared.send(rows, shared.bit_array(by_id(classes)))
-    links = durable(_quick_links(rows, classes, reps))
-    labelled = durable(_labelled(classes, links))
-    links = durable(links.unionByName(_second_links(rows, labelled, links)))
-    labelled = durable(_labelled(classes, links))
-    pairs = durable(_candidates(rows, labelled, reps))
+    links = scratch.keep(_quick_links(rows, classes, reps))
+    labelled = scratch.keep(_labelled(classes, links))
+    links = scratch.keep(links.unionByName(_second_links(rows, labelled, links, scratch)))
+    scratch.drop(labelled)
+    labelled = scratch.keep(_labelled(classes, links))
+    pairs = _candidates(rows, labelled, reps, scratch)
     if not pairs.isEmpty():
-        late = durable(_verified(rows, pairs))
+        late = _verified(rows, pairs, scratch)
         if not late.isEmpty():
-            labelled = durable(_labelled(classes, links.unionByName(late)))
-    known = labelled.select("n", "s1", "s2", "component")
-    return sketch.join(known, ["n", "s1", "s2"], "left").select(
+            scratch.drop(labelled)
+            labelled = scratch.keep(_labelled(classes, links.unionByName(late)))
+    known = scratch.keep(labelled.select("n", "s1", "s2", "component"))
+    scratch.drop(*[f for f, _ in scratch.kept if f is not known and f is not found])
+    return found.join(known, ["n", "s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _with_node(odd, own: str):
+    """A row's node: its doc_id, or its hash where it has none or the id may have several rows."""
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(f"{own}id")
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            values = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            known &= ~shared.maybe(odd.value, _id_key(values))
+            node = np.where(known, values, batch.column(f"{own}h1").to_numpy())
+            yield batch.append_column(f"{own}node", pa.array(node, pa.int64()))
+
+    return run
+
+
+def _of_kind(kinds, node: str, wanted: int | None):
+    """Rows whose node can only be of the wanted kind; without one, rows whose node may be of several."""
+    def run(batches):
+        for batch in batches:
+            flags = np.array([shared.maybe(row, _id_key(batch.column(node).to_numpy())) for row in kinds.value])
+            keep = flags.sum(axis=0) > 1 if wanted is None else flags[wanted] & (flags.sum(axis=0) == 1)
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each component of ``docs``: the smallest doc_id, rows without one last, then by a hash of the row.
 
     Components are those of the rows, whatever their doc_id: a row goes by its own text only. Rows that are equal in
-    every column count as one. A row without shingles stays.
+    every column count as one. A row without shingles stays, and so does one whose 64-bit hash meets that of another.
+
+    Which rows go is decided on ids and hashes. Each row is then told by bit arrays of the nodes that stay, go, or stay
+    once; only rows of nodes that these leave in doubt are joined with the exact list.
     """
-    node = tx.row_hash(docs)
-    rows = docs.withColumn("_node", node)
-    found = near_duplicates(docs.select(node.alias("doc_id"), "text")).where("n_shingles > 0")
-    found = found.groupBy(F.col("doc_id").alias("_node")).agg(
-        F.min("component_id").alias("component"), F.count("*").alias("copies"))
-    ids = rows.select("_node", F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    found = durable(found.join(ids, "_node"))
-    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_node")).alias("best"))
-    best = best.select(F.col("best._node").alias("_node"))
-    gone = found.join(best, "_node", "left_anti").select("_node")
-    repeated = durable(found.where("copies > 1").join(best, "_node", "left_semi").select("_node"))
-    if repeated.isEmpty():
-        return rows.join(gone, "_node", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    once = rows.join(repeated, "_node", "left_semi").dropDuplicates(["_node"])
-    kept = rows.join(gone.unionByName(repeated), "_node", "left_anti").unionByName(once)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    scratch, own = Scratch(docs.sparkSession, "representatives"), "_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    node = f"{own}node"
+    inner = docs.withColumns({f"{own}id": F.col("doc_id").cast("long"), f"{own}h1": tx.row_hash(docs), f"{own}h2": tx.row_hash(docs, "2")})
+    ids = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("c"))
+    odd = shared.send(docs, shared.bit_array(by_id(ids.where("c > 1"))))
+    schema = inner.withColumn(node, F.lit(0).cast("long")).schema
+    rows = inner.mapInArrow(_with_node(odd, own), schema)
+    found = near_duplicates(rows.select(F.col(node).alias("doc_id"), "text"))
+    found = found.groupBy(F.col("doc_id").alias(node)).agg(
+        F.max("n_shingles").alias("n"), F.min("component_id").alias("component"), F.count("*").alias("copies"))
+    facts = rows.groupBy(node).agg(F.min(f"{own}id").alias("id"), F.min(f"{own}h2").alias("lo"), F.max(f"{own}h2").alias("hi"))
+    # a node that holds nothing, or two different rows, stays as it is
+    free = (F.col("n") == 0) | ((F.col("copies") > 1) & (F.col("lo") != F.col("hi")))
+    found = scratch.keep(found.join(facts, node).withColumn("free", free))
+    best = found.where("NOT free").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", node)).alias("best"))
+    best = best.select(F.col(f"best.{node}").alias(node), F.lit(1).alias("won"))
+    # 0 stays, 1 goes, 2 stays once
+    kind = F.when(F.col("free"), 0).when(F.col("won").isNull(), 1).when(F.col("copies") > 1, 2).otherwise(0)
+    nodes = scratch.keep(found.join(best, node, "left").select(node, kind.alias("kind")))
+    scratch.drop(found)
+    bits = [shared.bit_array(by_id(nodes.where(F.col("kind") == i).select(F.col(node).alias("doc_id")))) for i in range(3)]
+    kinds = shared.send(docs, np.stack(bits))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = rows.mapInArrow(_of_kind(kinds, node, 0), schema).select(*columns)
+    once = None if nodes.where("kind = 2").isEmpty() else rows.mapInArrow(_of_kind(kinds, node, 2), schema)
+    doubtful = scratch.keep(nodes.mapInArrow(_of_kind(kinds, node, None), nodes.schema))
+    if not doubtful.isEmpty():
+        doubt = rows.mapInArrow(_of_kind(kinds, node, None), schema).join(doubtful.withColumnRenamed("kind", f"{own}kind"), node)
+        kept = kept.unionByName(doubt.where(f"{own}kind = 0").select(*columns))
+        once = once and once.unionByName(doubt.where(f"{own}kind = 2").drop(f"{own}kind"))
+    return kept.unionByName(once.dropDuplicates([node]).select(*columns)) if once else kept
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
