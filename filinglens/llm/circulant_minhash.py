@@ -16,14 +16,12 @@ text has none and links with nothing. Two documents link when 100 * |A and B| >=
    pairs linear in its size.
 4. Buckets that still hold several components: the pairs across components of a
    bucket of up to ``SMALL`` members are compared directly.
-5. Members of larger ones take an exact way that forms no pairs of a bucket.
-   Shingles are ordered by how many of these documents hold them; linked
-   documents have a common shingle among their first n - ceil(0.85 n) + 1, and
-   where the first common one is held by over ``SMALL`` documents, all that they
-   share is. So the rare shingles of the prefixes are joined; and documents whose
-   frequent shingles alone reach the threshold are grouped by the set of these:
-   within a group, and between groups that share a frequent prefix shingle, the
-   smallest document of a group links with all that any other would link with.
+5. Larger ones take an exact way that forms no pairs of a bucket. Each member is
+   written as its differences from the bucket's hub: the shingles it lacks, and
+   those it has beside. Two members share the hub's shingles that neither lacks,
+   and the differences they have in common. Where the former are enough, both link
+   with the member nearest to the hub; otherwise the gap says how many differences
+   a pair has to share, so a prefix of each member's, rare ones first, finds it. What a family or a template has in common is never joined on.
 6. Every pair so found is confirmed on the whole sets, members streaming past the
    one set they are compared with. The confirmed links give the components.
 
@@ -51,8 +49,8 @@ BANDS = 32
 SMALL = 64
 #: Members that one task compares with the same document.
 PART = 256
-#: Counts at which a shingle moves to the next place in the order; the last makes it frequent.
-LEVELS = (2, 5, 17)
+#: Counts, within parts of a hub's members, at which a difference moves to the next place in the order of prefixes.
+LEVELS = (4, 16, 64)
 _SCATTER = np.uint64(0xA0761D6478BD642F)
 _MIX = np.uint64(0xE7037ED1A0B428DB)
 
@@ -101,19 +99,22 @@ def _sizes_allow(a: str, b: str) -> Column:
     return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """Bucket members (key, doc_id, n) of buckets that hold several, and how many they hold."""
+def _met(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (key, doc_id, n) of buckets that hold several, with their number c and the hub u of hub_n shingles."""
     several = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    return rows.join(several, "key")
+    met = scratch.keep(rows.join(several, "key"))
+    weight = met.groupBy("doc_id").agg(F.sum("c").alias("weight"))
+    hubs = met.join(weight, "doc_id").groupBy("key").agg(
+        F.max(F.struct("weight", (-F.col("doc_id")).alias("late"), F.col("n").alias("hub_n"))).alias("hub"))
+    out = scratch.keep(met.join(hubs.select("key", (-F.col("hub.late")).alias("u"), "hub.hub_n"), "key"))
+    scratch.drop(met)
+    return out
 
 
 def _hub_pairs(met: DataFrame) -> DataFrame:
     """(hub, member) of every bucket."""
-    weight = met.groupBy("doc_id").agg(F.sum("c").alias("weight"))
-    hubs = met.join(weight, "doc_id").groupBy("key").agg(
-        F.max(F.struct("weight", (-F.col("doc_id")).alias("late"), F.col("n").alias("hub_n"))).alias("hub"))
-    pairs = met.join(hubs.select("key", (-F.col("hub.late")).alias("u"), "hub.hub_n"), "key")
-    return pairs.where((F.col("doc_id") != F.col("u")) & _sizes_allow("n", "hub_n")).select("u", F.col("doc_id").alias("v")).distinct()
+    pairs = met.where((F.col("doc_id") != F.col("u")) & _sizes_allow("n", "hub_n"))
+    return pairs.select("u", F.col("doc_id").alias("v")).distinct()
 
 
 def _compare(batches):
@@ -139,8 +140,13 @@ def _compare(batches):
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (u, v) that reach the threshold; ``pairs`` is a kept table without repeats."""
+def _required(a: str, b: str) -> Column:
+    """Keys that two documents have to share beside what both have of their hub, by their weights (w) and its size."""
+    return F.ceil((F.col(a) + F.col(b) - (100 + PERCENT) * F.col("size")) / F.lit(100 + PERCENT))
+
+
+def _streamed(docs: DataFrame, pairs: DataFrame, work, schema: str, scratch: Scratch) -> DataFrame:
+    """``work`` on the texts of the members (v) of each hub (u), the hub's own coming first in every part of them."""
     parts = pairs.groupBy(F.col("u").alias("key")).agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"))
     members = pairs.join(parts, pairs["u"] == parts["key"]).select(
         "key", F.pmod(F.xxhash64("v"), "parts").alias("salt"), F.lit(1).alias("rank"), F.col("v").alias("doc_id"))
@@ -150,9 +156,14 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame
     found = only(docs, shared.send(docs, shared.bit_array(by_id(places.select("doc_id").distinct()))))
     rows = places.join(found, "doc_id").select("key", "salt", "rank", "doc_id", "text")
     rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "rank")
-    links = scratch.keep(rows.mapInArrow(_compare, "u long, v long").distinct())
+    out = scratch.keep(rows.mapInArrow(work, schema))
     scratch.drop(places)
-    return links
+    return out
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v) that reach the threshold."""
+    return _streamed(docs, pairs, _compare, "u long, v long", scratch)
 
 
 def _component(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -162,75 +173,110 @@ def _component(nodes: DataFrame, links: DataFrame) -> DataFrame:
         nodes["*"], F.coalesce("component", "doc_id").alias("component"))
 
 
-def _counted(live):
-    """Shingles of the live documents, with the rows of the chunk that hold them."""
-    def work(batch, t):
-        s = Sets(t)
-        keep = shared.maybe(live.value, tx.mixed(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
-        keys, n = np.unique(s.values[keep[s.owner()]], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
-
-    return tx.per_chunk(work)
-
-
-def _prefixes(live, levels):
-    """Per live document: rare shared shingles of its prefix; number, sum and prefix of its frequent shingles where these may suffice."""
-    def work(batch, t):
-        s = Sets(t)
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        own = s.owner()
-        level = np.zeros(len(s.values), np.int64)
-        for i, row in enumerate(levels.value):
-            level[shared.maybe(row, s.values)] = i + 1
-        order = np.argsort(own * 8 + level, kind="stable")  # within a document by level, then by hash
-        level, values, place = level[order], s.values[order], s.place()
-        least = (PERCENT * s.sizes + 99) // 100
-        keep = shared.maybe(live.value, tx.mixed(ids.view(np.uint64)))
-        often = level == len(levels.value)
-        n_often = np.bincount(own[often], minlength=len(t))
-        enough = n_often >= least
-        rare = (place < (s.sizes - least + 1)[own]) & (level > 0) & ~often
-        ahead = often & enough[own] & (place - (s.sizes - n_often)[own] < (n_often - least + 1)[own])
-        kept = pa.array(keep)
-        sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.where(often, x, np.uint64(0)), dtype=np.uint64)))
-                for x in (tx.mixed(values + np.uint64(77)), tx.mixed(values ^ _MIX))]
-        h1, h2 = ((x[s.first[1:]] - x[s.first[:-1]]).view(np.int64) for x in sums)
+def _differences(batches):
+    """Per member its shingles that the hub lacks and those of the hub it lacks, as keys of this hub, from rows sorted as for ``_compare``.
+
+    A row without doc_id lists the keys that many members of one part have, and n of them.
+    """
+    names = ("u", "doc_id", "n", "size", "missing", "keys", "often")
+    key, held, hub, seen, n_seen, out = None, [], None, [], 0, {c: [] for c in names}
+
+    def put(*values):
+        for c, v in zip(names, values):
+            out[c].append(v)
+
+    def counted():
+        nonlocal seen, n_seen
+        if seen:
+            keys, n = np.unique(np.concatenate(seen), return_counts=True)
+            put(key[0], None, 0, 0, 0, keys[n >= LEVELS[0]].view(np.int64), n[n >= LEVELS[0]])
+        seen, n_seen = [], 0
+
+    def ready():
+        nonlocal out
+        done, out = out, {c: [] for c in names}
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(s.sizes.astype(np.int64)), pa.array(np.where(enough, n_often, 0).astype(np.int64)), pa.array(h1),
-             pa.array(h2), tx.ragged(values[rare].view(np.int64), np.bincount(own[rare], minlength=len(t))),
-             tx.ragged(values[ahead].view(np.int64), np.bincount(own[ahead], minlength=len(t)))],
-            ["doc_id", "n", "often", "h1", "h2", "rare", "ahead"]).filter(kept)
+            [*(pa.array(done[c], pa.int64()) for c in names[:-2]), *(pa.array(done[c], pa.list_(pa.int64())) for c in names[-2:])], list(names))
 
-    return tx.per_chunk(work)
+    for batch in batches:
+        keys = list(zip(batch.column("key").to_pylist(), batch.column("salt").to_pylist()))
+        ranks, ids = batch.column("rank").to_pylist(), batch.column("doc_id").to_pylist()
+        for t in tx.texts(batch.column("text")):
+            s = Sets(t)
+            for i in range(len(t)):
+                row = t.row + i
+                if keys[row] != key:
+                    counted()
+                    key, held, hub = keys[row], [], None
+                if not ranks[row]:
+                    held.append(s.of(i).copy())
+                    continue
+                if hub is None:  # the same one in every part, should the id have several texts
+                    hub = min(held, key=lambda h: (len(h), h.tobytes()))
+                own = s.of(i)
+                lacks, more = np.setdiff1d(hub, own, True), np.setdiff1d(own, hub, True)
+                salt = tx.mixed(np.array([key[0]], np.int64).view(np.uint64))
+                found = np.concatenate((tx.mixed(lacks ^ salt ^ _SCATTER), tx.mixed(more ^ salt)))
+                put(key[0], ids[row], len(own), len(hub), len(lacks), found.view(np.int64), [])
+                seen.append(found)
+                n_seen += len(found)
+                if n_seen > 1 << 20:
+                    counted()
+        if out["u"]:
+            yield ready()
+    counted()
+    if out["u"]:
+        yield ready()
+
+
+def _prefixes(levels):
+    """The first keys of each document, by level, then by value: any two that have to share ``need`` keys share one of these."""
+    def work(batches):
+        for batch in batches:
+            lists, need = batch.column("keys"), batch.column("need").to_numpy()
+            counts = lists.value_lengths().to_numpy().astype(np.int64)
+            first = np.concatenate(([0], np.cumsum(counts)))
+            own = np.repeat(np.arange(len(counts)), counts)
+            keys = lists.flatten().to_numpy().view(np.uint64)
+            level = np.zeros(len(keys), np.int64)
+            for i, row in enumerate(levels.value):
+                level[shared.maybe(row, keys)] = i + 1
+            order = np.lexsort((keys, level, own))
+            place = np.arange(len(keys)) - first[:-1][own]
+            keep = place <= (counts - need)[own]
+            at = pa.array(own[keep])
+            rows = [batch.column(c).take(at) for c in ("u", "doc_id", "component", "n", "w", "size")]
+            yield pa.RecordBatch.from_arrays(
+                [*rows, pa.array((counts[own] - place)[keep]), pa.array(keys[order][keep].view(np.int64))],
+                ["u", "doc_id", "component", "n", "w", "size", "ahead", "key"])
+
+    return work
 
 
 def _crowded_pairs(docs: DataFrame, crowd: DataFrame, scratch: Scratch) -> DataFrame:
-    """Candidate pairs among the documents of ``crowd`` (doc_id, component), by the exact way."""
-    known = docs.where("doc_id IS NOT NULL")
-    live = shared.send(docs, shared.bit_array(by_id(crowd.select("doc_id"))))
-    levels = shared.send(docs, shared.levels(known.mapInArrow(_counted(live), "key long, n long"), (*LEVELS, SMALL + 1)))
-    schema = "doc_id long, n long, often long, h1 long, h2 long, rare array<long>, ahead array<long>"
-    rows = scratch.keep(known.mapInArrow(_prefixes(live, levels), schema).join(crowd, "doc_id"))
-    a = rows.select("doc_id", "n", "component", F.explode("rare").alias("key"))
-    b = a.toDF("v", "vn", "vc", "key")
-    pairs = a.join(b, "key").where((F.col("component") < F.col("vc")) & _sizes_allow("n", "vn")).select(F.col("doc_id").alias("u"), "v")
-    # documents whose frequent shingles may reach the threshold alone, by the set of these
-    heavy = rows.where("often > 0").select("doc_id", "n", "component", "often", "h1", "h2", "ahead")
-    groups = heavy.groupBy("often", "h1", "h2").agg(
-        F.min(F.struct("n", "doc_id", "component", "ahead")).alias("least"))
-    groups = scratch.keep(groups.select("often", "h1", "h2", F.col("least.n").alias("un"), F.col("least.doc_id").alias("u"),
-                                        F.col("least.component").alias("uc"), F.col("least.ahead").alias("ahead")))
-    own = heavy.drop("ahead").join(groups.drop("ahead"), ["often", "h1", "h2"])
-    enough = 100 * F.col("often") >= PERCENT * (F.col("n") + F.col("un") - F.col("often"))
-    pairs = pairs.unionByName(own.where(enough & (F.col("component") != F.col("uc"))).select("u", F.col("doc_id").alias("v")))
-    x = groups.select(F.struct("often", "h1", "h2").alias("x"), F.col("u"), F.col("un"), F.explode("ahead").alias("key"))
-    y = groups.select(F.struct("often", "h1", "h2").alias("y"), F.explode("ahead").alias("key"))
-    beside = x.join(y, "key").where("x <> y").select("y", "u", "un").distinct()
-    across = heavy.select(F.struct("often", "h1", "h2").alias("y"), "doc_id", "n", "often").join(beside, "y")
-    reach = 100 * F.col("often") >= PERCENT * (F.col("n") + F.col("un") - F.col("often"))
-    pairs = pairs.unionByName(across.where(reach & _sizes_allow("n", "un")).select("u", F.col("doc_id").alias("v")))
+    """Candidate pairs across components among the members (doc_id) of each hub (u), by what tells them from the hub."""
+    schema = "u long, doc_id long, n long, size long, missing long, keys array<long>, often array<long>"
+    found = scratch.keep(_streamed(docs, crowd.select("u", F.col("doc_id").alias("v")), _differences, schema, scratch))
+    counts = found.where("doc_id IS NULL").select(F.explode(F.arrays_zip("keys", "often")).alias("x"))
+    levels = shared.send(docs, shared.levels(counts.select(F.col("x.keys").alias("key"), F.col("x.often").alias("n")), LEVELS))
+    w = (100 + PERCENT) * F.col("missing") + PERCENT * F.col("n")
+    rows = found.drop("often").join(crowd, ["u", "doc_id"]).withColumn("w", w)
+    least = rows.groupBy("u").agg(F.min(F.struct("w", "doc_id", "component", "n")).alias("least"))
+    # a pair shares no more keys than either has, so a document far from the hub links with none near to it
+    alike = F.ceil((2 * PERCENT * F.col("w") - 100 * (100 - PERCENT) * F.col("n") - PERCENT * (100 + PERCENT) * F.col("size"))
+                   / F.lit(PERCENT * (100 + PERCENT)))
+    rows = scratch.keep(rows.join(least, "u").withColumn("need", F.greatest(F.lit(1).cast("long"), _required("w", "least.w"), alike)))
+    # what the hub and the two have in common is enough: the nearest to the hub links with all that any other would
+    pairs = rows.where((_required("w", "least.w") <= 0) & (F.col("component") != F.col("least.component")) & _sizes_allow("n", "least.n"))
+    pairs = pairs.select(F.col("least.doc_id").alias("u"), F.col("doc_id").alias("v"))
+    keys = scratch.keep(rows.drop("least").mapInArrow(
+        _prefixes(levels), "u long, doc_id long, component long, n long, w long, size long, ahead long, key long"))
+    other = keys.select("key", *[F.col(c).alias(f"{c}_") for c in ("doc_id", "component", "n", "w", "ahead")])
+    enough = F.least("ahead", "ahead_") >= F.greatest(F.lit(1), _required("w", "w_"))
+    met = keys.join(other, "key").where((F.col("component") < F.col("component_")) & _sizes_allow("n", "n_") & enough)
+    pairs = pairs.unionByName(met.select(F.col("doc_id").alias("u"), F.col("doc_id_").alias("v")))
     out = scratch.keep(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    scratch.drop(rows, groups)
+    scratch.drop(found, rows, keys)
     return out
 
 
@@ -242,7 +288,7 @@ def _late_pairs(docs: DataFrame, met: DataFrame, labelled: DataFrame, tried: Dat
     few = rows.where(F.col("c") <= SMALL).select("key", F.col("doc_id").alias("u"), "n", "component")
     pairs = few.join(few.toDF("key", "v", "vn", "vc"), "key").where((F.col("component") < F.col("vc")) & _sizes_allow("n", "vn"))
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    crowd = scratch.keep(rows.where(F.col("c") > SMALL).select("doc_id", "component").distinct())
+    crowd = scratch.keep(rows.where(F.col("c") > SMALL).select("u", "doc_id", "component").distinct())
     if not crowd.isEmpty():
         pairs = pairs.unionByName(_crowded_pairs(docs, crowd, scratch))
     tried = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
@@ -268,7 +314,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = scratch.keep(sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(
         F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     nodes = classes.select("n", "s1", "s2", "doc_id")
-    met = scratch.keep(_met(classes.select("doc_id", "n", F.explode("bands").alias("key"))))
+    met = _met(classes.select("doc_id", "n", F.explode("bands").alias("key")), scratch)
     tried = scratch.keep(_hub_pairs(met))
     links = _confirmed(docs, tried, scratch)
     links = scratch.keep(links.unionByName(_same_ids(sketch, nodes)))

@@ -504,20 +504,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _with_node(odd, own: str):
-    """A row's node: its doc_id, or its hash where it has none or the id may have several rows."""
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(f"{own}id")
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            known &= ~shared.maybe(odd.value, _id_key(values))
-            node = np.where(known, values, batch.column(f"{own}h1").to_numpy())
-            yield batch.append_column(f"{own}node", pa.array(node, pa.int64()))
-
-    return run
-
-
 def _of_kind(kinds, node: str, wanted: int | None):
     """Rows whose node can only be of the wanted kind; without one, rows whose node may be of several."""
     def run(batches):
@@ -536,18 +522,17 @@ def representatives(docs: DataFrame) -> DataFrame:
     Components are those of the rows, whatever their doc_id: a row goes by its own text only. Rows that are equal in
     every column count as one. A row without shingles stays, and so does one whose 64-bit hash meets that of another.
 
-    Which rows go is decided on ids and hashes. Each row is then told by bit arrays of the nodes that stay, go, or stay
+    A row is a node by its doc_id where that tells all rows apart, and by its hash otherwise. Which go is decided on these. Each row is then told by bit arrays of the nodes that stay, go, or stay
     once; only rows of nodes that these leave in doubt are joined with the exact list.
     """
     scratch, own = Scratch(docs.sparkSession, "representatives"), "_"
     while any(c.lower().startswith(own) for c in docs.columns):
         own += "_"
     node = f"{own}node"
-    inner = docs.withColumns({f"{own}id": F.col("doc_id").cast("long"), f"{own}h1": tx.row_hash(docs), f"{own}h2": tx.row_hash(docs, "2")})
-    ids = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("c"))
-    odd = shared.send(docs, shared.bit_array(by_id(ids.where("c > 1"))))
-    schema = inner.withColumn(node, F.lit(0).cast("long")).schema
-    rows = inner.mapInArrow(_with_node(odd, own), schema)
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("c"))
+    row = F.col("doc_id").cast("long") if ids.where("c > 1 OR doc_id IS NULL").isEmpty() else tx.row_hash(docs)
+    rows = docs.withColumns({node: row, f"{own}id": F.col("doc_id").cast("long"), f"{own}h2": tx.row_hash(docs, "2")})
+    schema = rows.schema
     found = near_duplicates(rows.select(F.col(node).alias("doc_id"), "text"))
     found = found.groupBy(F.col("doc_id").alias(node)).agg(
         F.max("n_shingles").alias("n"), F.min("component_id").alias("component"), F.count("*").alias("copies"))

@@ -9,6 +9,7 @@ import pytest
 from filinglens.llm import circulant_minhash as cm
 from filinglens.llm import text as tx
 from filinglens.llm.jaccard_join import Sets
+from filinglens.session import Scratch
 
 EDGES = (None, "", "  ", "one", "ONE", "one two three", "One two Three", "é é é é é", "x" * 4000, "x" * 4000)
 
@@ -74,22 +75,21 @@ def test_crowded_buckets(spark, monkeypatch, small):
     """Without hubs, and with every bucket of more than ``small`` members going the exact way."""
     texts = _corpus(random.Random(4))
     monkeypatch.setattr(cm, "SMALL", small)
-    monkeypatch.setattr(cm, "LEVELS", (2,))
+    monkeypatch.setattr(cm, "LEVELS", (2, 4))
     monkeypatch.setattr(cm, "PART", 7)
-    monkeypatch.setattr(cm, "_hub_pairs", lambda met: met.sparkSession.createDataFrame([], "u long, v long"))
+    monkeypatch.setattr(cm, "_hub_pairs", lambda met: met.select("u", met["doc_id"].alias("v")).where("false"))
     assert _found(spark, texts) == _by_hand(texts)
 
 
-def test_crowded_way_alone(spark, monkeypatch):
-    """The exact way gives every link among the documents handed to it."""
+@pytest.mark.parametrize("hub", [0, 1, 2])
+def test_crowded_way_alone(spark, monkeypatch, hub):
+    """The exact way gives every link among the members of a hub, however far from them the hub is."""
     texts = {i: t for i, t in _corpus(random.Random(6)).items() if _set(t)}
-    monkeypatch.setattr(cm, "SMALL", 4)
-    monkeypatch.setattr(cm, "LEVELS", (2,))
+    monkeypatch.setattr(cm, "LEVELS", (2, 4))
+    hub = sorted(texts, key=lambda i: (len(texts[i]), i))[(len(texts) - 1) * hub // 2]
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    from filinglens.session import Scratch
-
     scratch = Scratch(spark, "test")
-    crowd = docs.select("doc_id", docs["doc_id"].alias("component"))
+    crowd = docs.selectExpr(f"{hub}L AS u", "doc_id", "doc_id AS component")
     links = cm._confirmed(docs, cm._crowded_pairs(docs, crowd, scratch), scratch)
     got = {r["node"]: r["component"] for r in cm.components(links).collect()}
     assert {i: got.get(i, i) for i in texts} == {i: v[1] for i, v in _by_hand(texts).items()}
