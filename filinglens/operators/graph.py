@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
@@ -272,31 +274,39 @@ def committee_overlap(edges: DataFrame, limit: int | None = 50) -> DataFrame:
     return out
 
 
+def company_firms(edges: DataFrame) -> DataFrame:
+    """Each company's lobbying firms, once: ticker and firm."""
+    return _rel(edges, "LOBBIED_FOR", "firm", "ticker").select("ticker", "firm").distinct()
+
+
 def connections(edges: DataFrame, members: Sequence[str] | None = None) -> DataFrame:
-    """Per member: companies with trade counts, lobbying links, donors among them.
+    """Per member: companies with trade counts, donors among them, and how many lobbying links these have.
 
-    Links are counted from the number of firms per company and listed, with a
-    company's firms, as lobbying_connections; the schema is the same for all
-    members as for some.
+    A member's lobbying links are the firms of its companies. They are counted from
+    one number per company and not listed, as members share companies: the
+    companies of this table and ``company_firms`` hold them all, and
+    ``lobbying_connections`` lists those of the members asked for.
     """
     trades = _rel(edges, "TRADED", "member", "ticker")
     donors = _rel(edges, "DONATED_TO", "ticker", "member", "total_amount", "contribution_count")
     if members is not None:
         asked = F.col("member").isin(list(members))
         trades, donors = trades.filter(asked), donors.filter(asked)
-    firms = _rel(edges, "LOBBIED_FOR", "firm", "ticker").distinct()
-    per = trades.groupBy("member", "ticker").agg(F.count("*").alias("trade_count"))
-    sized = per.join(firms.groupBy("ticker").agg(F.count("*").alias("firms")), "ticker", "left").join(
+    firms = company_firms(edges).groupBy("ticker").agg(F.count("*").alias("firms"))
+    sized = trades.groupBy("member", "ticker").agg(F.count("*").alias("trade_count")).join(firms, "ticker", "left").join(
         donors, ["member", "ticker"], "left")
     gift = F.when(F.col("contribution_count").isNotNull(), F.struct("ticker", "total_amount", "contribution_count"))
-    out = sized.groupBy("member").agg(
-        F.array_sort(F.collect_list(F.struct("ticker", "trade_count"))).alias("traded_companies"),
-        F.array_sort(F.collect_list(gift)).alias("donation_connections"),
+    company = F.struct("ticker", "trade_count", F.coalesce("firms", F.lit(0)).alias("firms"))
+    return sized.groupBy("member").agg(
+        F.array_sort(F.collect_list(company)).alias("traded_companies"), F.array_sort(F.collect_list(gift)).alias("donation_connections"),
         F.count("*").alias("companies_traded"), F.coalesce(F.sum("firms"), F.lit(0)).alias("lobbying_link_count"),
         F.count("contribution_count").alias("donation_link_count"))
-    links = per.join(firms, "ticker").groupBy("member").agg(
-        F.array_sort(F.collect_list(F.struct("ticker", "firm"))).alias("lobbying_connections"))
-    return out.join(links, "member", "left")
+
+
+def lobbying_connections(edges: DataFrame, members: Sequence[str]) -> DataFrame:
+    """(member, ticker, firm) of the members asked for."""
+    trades = _rel(edges, "TRADED", "member", "ticker").filter(F.col("member").isin(list(members))).distinct()
+    return trades.join(company_firms(edges), "ticker").select("member", "ticker", "firm")
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -365,23 +375,20 @@ def edge_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def mean_aggregate(features: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
     """Mean of the sources' vectors per target and edge type, added up over types.
 
-    ``features`` holds (type, id, features) of one length. Components are
-    averaged by ordinary aggregates with map-side combine. A node keeps its own
-    vector and adds the mean of each incoming edge type, once per hop.
+    ``features`` holds (type, id, features) of one length. Whole vectors are
+    averaged with map-side combine, one row an edge. A node keeps its own vector
+    and adds the mean of each incoming edge type, once per hop.
     """
     pairs = edges.select(*EDGE_COLUMNS).distinct()
-    current = features
+    nodes = features.select("type", "id")
+    current = features.select("type", "id", array_to_vector("features").alias("v"))
     for _ in range(hops):
-        src = current.select(
-            F.col("type").alias("src_type"), F.col("id").alias("src"), F.posexplode("features").alias("i", "v"))
+        src = current.select(F.col("type").alias("src_type"), F.col("id").alias("src"), "v")
         means = pairs.join(src, ["src_type", "src"]).groupBy(
-            F.col("dst_type").alias("type"), F.col("dst").alias("id"), "src_type", "rel", "i").agg(F.avg("v").alias("v"))
-        own = current.select("type", "id", F.posexplode("features").alias("i", "v"))
-        total = own.unionByName(means.select("type", "id", "i", "v")).groupBy("type", "id", "i").agg(F.sum("v").alias("v"))
-        current = total.groupBy("type", "id").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("features")).join(
-            features.select("type", "id"), ["type", "id"], "left_semi")
-    return current
+            F.col("dst_type").alias("type"), F.col("dst").alias("id"), "src_type", "rel").agg(Summarizer.mean(F.col("v")).alias("v"))
+        means = means.select("type", "id", "v").join(nodes, ["type", "id"], "left_semi")
+        current = current.unionByName(means).groupBy("type", "id").agg(Summarizer.sum(F.col("v")).alias("v"))
+    return current.select("type", "id", vector_to_array("v").alias("features"))
 
 
 def attach_embeddings(df: DataFrame, embeddings: DataFrame, dim: int) -> DataFrame:

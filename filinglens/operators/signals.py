@@ -181,23 +181,43 @@ def generate_all(
 # --- alerts ---------------------------------------------------------------------------
 
 
-def match_alerts(signals: DataFrame, configs: DataFrame) -> DataFrame:
+#: Parts of the keys that any signal, or any of one type, can have.
+ALERT_SALTS = 32
+
+
+def match_alerts(signals: DataFrame, configs: DataFrame, salts: int = ALERT_SALTS) -> DataFrame:
     """(signal, config) pairs; an empty list in a config allows anything.
 
-    The configuration's type list is exploded to an equi-join key ('' = any);
-    the other conditions filter the joined rows.
+    A configuration is indexed by its most selective list: its members, else its
+    tickers, else its types, else nothing. A signal looks up its member, ticker,
+    type and the unlisted ones, so each pair meets once. The last two keys, which
+    many signals share, are dealt to ``salts`` parts: their few configurations are
+    copied to each, their signals go to one. The other conditions filter the pairs.
     """
-    kinds = F.when(F.size(F.coalesce("signal_types", F.array())) == 0, F.array(F.lit(""))).otherwise(
-        F.array_distinct("signal_types"))
+    def listed(column: str) -> Column:
+        return F.coalesce(F.col(column), F.array().cast("array<string>"))
+
+    def prefixed(prefix: str, column: str) -> Column:
+        return F.transform(F.array_distinct(listed(column)), lambda v: F.concat(F.lit(prefix), v))
+
+    parts = F.sequence(F.lit(0), F.lit(salts - 1))
+    salted = F.flatten(F.transform(prefixed("kind ", "signal_types"), lambda k: F.transform(parts, lambda i: F.concat(k, F.lit(" "), i.cast("string")))))
+    keys = (
+        F.when(F.size(listed("members")) > 0, prefixed("member ", "members")).when(F.size(listed("tickers")) > 0, prefixed("ticker ", "tickers"))
+        .when(F.size(listed("signal_types")) > 0, salted).otherwise(F.transform(parts, lambda i: F.concat(F.lit("any "), i.cast("string")))))
     c = configs.filter("is_active").select(
-        "config_id", F.col("name").alias("config_name"), "min_strength", "tickers", "members",
-        F.explode(kinds).alias("_kind"))
-    s = signals.withColumn("_kind", F.explode(F.array(F.lit(""), F.col("signal_type"))))
-    allowed = lambda column, value: (
-        (F.size(F.coalesce(F.col(column), F.array())) == 0) | F.coalesce(F.array_contains(column, F.col(value)), F.lit(False)))
-    return s.join(c, "_kind").filter(
+        "config_id", F.col("name").alias("config_name"), "min_strength", "tickers", "members", "signal_types", F.explode(keys).alias("_key"))
+    own = F.pmod(F.xxhash64("signal_id"), F.lit(salts)).cast("string")
+    s = signals.withColumn("_key", F.explode(F.array_compact(F.array(
+        F.concat(F.lit("member "), "member_bioguide_id"), F.concat(F.lit("ticker "), "ticker"),
+        F.concat(F.lit("kind "), "signal_type", F.lit(" "), own), F.concat(F.lit("any "), own)))))
+
+    def allowed(column: str, value: str) -> Column:
+        return (F.size(listed(column)) == 0) | F.coalesce(F.array_contains(column, F.col(value)), F.lit(False))
+
+    return s.join(c, "_key").filter(
         (F.col("strength") >= F.coalesce("min_strength", F.lit(0.0))) & allowed("tickers", "ticker")
-        & allowed("members", "member_bioguide_id")).drop("_kind")
+        & allowed("members", "member_bioguide_id") & allowed("signal_types", "signal_type")).drop("_key", "signal_types")
 
 
 def quiet_segments(matches: DataFrame, window_seconds: int, buckets: int = 6) -> DataFrame:
