@@ -53,12 +53,23 @@ def fit_regressor(train: DataFrame, columns: list[str], **params) -> PipelineMod
     return _pipeline(columns, gbt).fit(train)
 
 
-def fit_boosted(train: DataFrame, columns: list[str], held_share: float = 0.2, **params) -> PipelineModel:
-    """Second classifier that stops on a held-out hash share of its rows."""
-    held = F.pmod(F.xxhash64("trade_id"), F.lit(1000)) < int(held_share * 1000)
+def fit_boosted(
+    train: DataFrame, columns: list[str], valid: DataFrame | None = None, held_share: float = 0.2, **params,
+) -> PipelineModel:
+    """Second classifier that stops where its validation rows' loss stops falling.
+
+    ``valid`` holds the rows that the fold validates on, with equal weights; without
+    one (a model fitted on all rows) a hash share of the training rows is held out.
+    """
+    rows = balanced(train)
+    if valid is None:
+        rows = rows.withColumn("_held", F.pmod(F.xxhash64("trade_id"), F.lit(1000)) < int(held_share * 1000))
+    else:
+        held = valid.select(*train.columns, F.lit(1.0).alias("_weight"), F.lit(True).alias("_held"))
+        rows = rows.withColumn("_held", F.lit(False)).unionByName(held)
     gbt = GBTClassifier(
         labelCol="profitable", weightCol="_weight", validationIndicatorCol="_held", **{**BOOSTED, **params})
-    return _pipeline(columns, gbt).fit(balanced(train).withColumn("_held", held))
+    return _pipeline(columns, gbt).fit(rows)
 
 
 def fit_stack(meta: DataFrame) -> PipelineModel:
@@ -100,15 +111,17 @@ def evaluate_proba(df: DataFrame, column: str) -> dict[str, float]:
     return {k: float(v) for k, v in row.asDict().items()}
 
 
-def fit_all(train: DataFrame, columns: list[str], params: dict | None = None, trees: int = 200) -> dict:
-    """All base models and the stack, fitted on one training set."""
+def fit_all(
+    train: DataFrame, columns: list[str], params: dict | None = None, trees: int = 200, valid: DataFrame | None = None,
+) -> dict:
+    """All base models and the stack, fitted on one training set; the boosted one stops by ``valid``, where given."""
     params = params or {}
     train = durable(train)
     models = {
         "trade_predictor": fit_classifier(train, columns, **params.get("classifier", {})),
         "return_predictor": fit_regressor(train, columns, **params.get("regressor", {})),
         "anomaly_detector": fit_anomaly(train, anomaly_columns(columns), trees=trees),
-        "boosted": fit_boosted(train, columns, **params.get("boosted", {})),
+        "boosted": fit_boosted(train, columns, valid, **params.get("boosted", {})),
     }
     models["ensemble"] = fit_stack(durable(with_base_outputs(train, models, columns).select("profitable", *K.META_FEATURES)))
     return models
@@ -143,8 +156,9 @@ def train_cv(df: DataFrame, columns: list[str], n: int = 5, params: dict | None
     rows = positioned(clean(df, columns))
     per_fold = []
     for fold in purged_folds(rows, n):
-        models = fit_all(rows.filter(fold.train()), columns, params, trees)
-        per_fold.append((fold.number, evaluate_all(rows.filter(fold.validate()), models, columns)))
+        valid = rows.filter(fold.validate())
+        models = fit_all(rows.filter(fold.train()), columns, params, trees, valid)
+        per_fold.append((fold.number, evaluate_all(valid, models, columns)))
     return metric_rows(df.sparkSession, per_fold)
 
 
