@@ -20,8 +20,10 @@ text has none and links with nothing. Two documents link when 100 * |A and B| >=
    written as its differences from the bucket's hub: the shingles it lacks, and
    those it has beside. Two members share the hub's shingles that neither lacks,
    and the differences they have in common. Where the former are enough, both link
-   with the member nearest to the hub; otherwise the gap says how many differences
-   a pair has to share, so a prefix of each member's, rare ones first, finds it. What a family or a template has in common is never joined on.
+   with the member nearest to the hub; otherwise the gap to the nearest member of
+   another component says how many differences a pair has to share, so a prefix of
+   each member's, rare ones first, finds it. What a family or a template has in
+   common is never joined on.
 6. Every pair so found is confirmed on the whole sets, members streaming past the
    one set they are compared with. The confirmed links give the components.
 
@@ -265,11 +267,15 @@ def _crowded_pairs(docs: DataFrame, crowd: DataFrame, scratch: Scratch) -> DataF
     # a pair shares no more keys than either has, so a document far from the hub links with none near to it
     alike = F.ceil((2 * PERCENT * F.col("w") - 100 * (100 - PERCENT) * F.col("n") - PERCENT * (100 + PERCENT) * F.col("size"))
                    / F.lit(PERCENT * (100 + PERCENT)))
-    rows = scratch.keep(rows.join(least, "u").withColumn("need", F.greatest(F.lit(1).cast("long"), _required("w", "least.w"), alike)))
+    # partners are of other components, so beside the least's own component it is the nearest of another that counts
+    rows = rows.join(least, "u")
+    other = rows.where(F.col("component") != F.col("least.component")).groupBy("u").agg(F.min("w").alias("other"))
+    rows = rows.join(other, "u").withColumn("near", F.when(F.col("component") == F.col("least.component"), F.col("other")).otherwise(F.col("least.w")))
+    rows = scratch.keep(rows.withColumn("need", F.greatest(F.lit(1).cast("long"), _required("w", "near"), alike)))
     # what the hub and the two have in common is enough: the nearest to the hub links with all that any other would
     pairs = rows.where((_required("w", "least.w") <= 0) & (F.col("component") != F.col("least.component")) & _sizes_allow("n", "least.n"))
     pairs = pairs.select(F.col("least.doc_id").alias("u"), F.col("doc_id").alias("v"))
-    keys = scratch.keep(rows.drop("least").mapInArrow(
+    keys = scratch.keep(rows.drop("least", "other", "near").mapInArrow(
         _prefixes(levels), "u long, doc_id long, component long, n long, w long, size long, ahead long, key long"))
     other = keys.select("key", *[F.col(c).alias(f"{c}_") for c in ("doc_id", "component", "n", "w", "ahead")])
     enough = F.least("ahead", "ahead_") >= F.greatest(F.lit(1), _required("w", "w_"))
