@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as X
 from ..operators import merge, resolve
+from ..operators.keyed_table import KeyedTable
+from ..streaming.jobs import new_folder
 from .catalog_sources import HTML_SQL, normalised_lobbying
 from .registry import R, S, flat, query
+from .views import Tables
 
 
 # ---------------------------------------------------------------- X functions
@@ -290,6 +293,63 @@ def _(t):
                 "media_id", "model_name", "sentiment_score")
 
 
+def _loaded(t: Tables, name: str, batches: list, keys: list[str], step):
+    """The batches applied to a bucketed table one after the other, the last one twice, as after a failure."""
+    table = KeyedTable(t.spark, new_folder(t.spark, name), batches[0].schema, keys)
+    for i, rows in enumerate([*batches, batches[-1]]):
+        table.apply(rows, step, min(i, len(batches) - 1))
+    return table.read()
+
+
+@query("m01_sink_trades", f"""SELECT trade_id + late AS trade_id, member_name, ticker, {S('transaction_date')} AS transaction_date, transaction_type,
+      {R('amount_range_low')} AS amount_range_low
+    FROM (SELECT *, ticker IS NULL OR amount_range_low IS NULL AS keyless, row_number() OVER (PARTITION BY member_name, ticker,
+      transaction_date, transaction_type, amount_range_low ORDER BY trade_id) AS rn FROM trades) CROSS JOIN (VALUES (0), (1000000000)) l(late)
+    WHERE keyless OR (rn = 1 AND late = 0)""")
+def _(t):
+    columns = ["trade_id", *TRADE_KEYS]
+    old = t.trades.filter("year(transaction_date) < 1998").select(*columns)
+    late = t.trades.withColumn("trade_id", F.col("trade_id") + 1000000000)
+    fresh = t.trades.filter("year(transaction_date) >= 1998").unionByName(late).select(*columns)
+    rows = _loaded(t, "trades", [old, fresh], TRADE_KEYS, lambda a, b: merge.insert_new(a, b, TRADE_KEYS, ["trade_id"]))
+    return flat(rows, *columns)
+
+
+@query("m02_sink_prices", f"SELECT ticker, {S('date')} AS date, {R('adj_close')} AS adj_close FROM prices")
+def _(t):
+    slim = t.prices.select("ticker", "date", "adj_close")
+    half = F.month("date") <= 6
+    rest = slim.withColumn("adj_close", F.when(half, -1.0).otherwise(F.col("adj_close")))
+    again = slim.filter(~half).withColumn("adj_close", F.col("adj_close") + 1)
+    keys = ["ticker", "date"]
+    rows = _loaded(t, "prices", [slim.filter(half), rest.unionByName(again)], keys, lambda a, b: merge.insert_new(a, b, keys, ["adj_close"]))
+    return flat(rows, "ticker", "date", "adj_close")
+
+
+@query("m03_sink_members", """SELECT bioguide_id, full_name, CASE WHEN CAST(bioguide_id AS BIGINT) % 2 = 0 THEN 'New' ELSE party END AS party, state FROM members""")
+def _(t):
+    slim = t.members.select("bioguide_id", "full_name", "party", "state")
+    staged = slim.filter("cast(bioguide_id as long) % 2 = 0").withColumn("party", F.lit("New"))
+    return _loaded(t, "members", [slim, staged], ["bioguide_id"], lambda a, b: merge.upsert(a, b, ["bioguide_id"], ["full_name"]))
+
+
+@query("m11_sink_media", "SELECT media_id, source_type, source_id, title || '+' AS title, content FROM media")
+def _(t):
+    slim = t.media.select("media_id", "source_type", "source_id", "title", "content")
+    staged = slim.withColumn("title", F.concat("title", F.lit("+")))
+    keys = ["source_type", "source_id"]
+    return _loaded(t, "media", [slim.filter("media_id % 2 = 0"), staged], keys, lambda a, b: merge.upsert(a, b, keys, ["media_id"]))
+
+
+@query("m12_sink_sentiment", f"SELECT media_id, model_name, sentiment_label, {R('-sentiment_score')} AS sentiment_score FROM sentiment")
+def _(t):
+    slim = t.sentiment.select("media_id", "model_name", "sentiment_label", "sentiment_score")
+    staged = slim.withColumn("sentiment_score", -F.col("sentiment_score"))
+    keys = ["media_id", "model_name"]
+    # a placement by part of the key holds all rows of the whole key too
+    return flat(_loaded(t, "sentiment", [slim, staged], ["media_id"], lambda a, b: merge.upsert(a, b, keys, ["sentiment_label"])))
+
+
 @query("m13_insert_mentions", """SELECT DISTINCT media_id, unnest(member_bioguide_ids) AS member_bioguide_id FROM media""")
 def _(t):
     rows = t.media.select("media_id", F.explode("member_bioguide_ids").alias("member_bioguide_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..streaming import jobs
 from .catalog_graph import MATCH
 from . import catalog_learning  # noqa: F401  (registers the SQL reused below)
-from .registry import ORACLES, TS, flat, query
+from .registry import ORACLES, S, TS, flat, query
 from .views import Tables, given_name, family_name
 
 
@@ -45,13 +45,24 @@ def _filings(t: Tables):
       UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 10 = 0)""")
 def _(t):
     stream = _filings(_streamed(t, "orders"))
-    table = jobs.Table(t.spark, jobs.new_folder(t.spark, "filings"), stream.schema)
+    table = jobs.filings_table(t.spark, jobs.new_folder(t.spark, "filings"), stream.schema)
     out = jobs.stream_filings(stream, table, ["trade_id"]).read()
     return out.agg(
         F.count("*").alias("rows"), F.count("ticker").alias("keyed"),
         F.sum(F.when(F.col("ticker").isNotNull(), F.col("trade_id"))).cast("double").alias("ids"))
 
 
+@query("t01_stream_filing_rows", f"""WITH f AS (SELECT o_orderkey AS trade_id, o_custkey % 311 AS a, o_custkey % 23 AS b,
+      CASE WHEN o_orderkey % 10 <> 0 THEN 'T' || (o_orderkey % 3) END AS ticker, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS transaction_type FROM orders)
+    SELECT trade_id, ticker, {S('d')} AS transaction_date, transaction_type FROM f
+    WHERE ticker IS NULL OR trade_id = (SELECT min(trade_id) FROM f g WHERE g.a = f.a AND g.b = f.b AND g.ticker = f.ticker AND g.d = f.d
+      AND g.transaction_type = f.transaction_type)""")
+def _(t):
+    stream = _filings(_streamed(t, "orders"))
+    table = jobs.filings_table(t.spark, jobs.new_folder(t.spark, "filings"), stream.schema)
+    return flat(jobs.stream_filings(stream, table, ["trade_id"]).read(), "trade_id", "ticker", "transaction_date", "transaction_type")
+
+
 @query("t02_stream_media", """SELECT source AS source_type, CAST(doc_id // 2 AS VARCHAR) AS source_id, count(*) > 0 AS seen FROM documents GROUP BY 1, 2""")
 def _(t):
     docs = _streamed(t, "documents").raw("documents").select(
@@ -97,5 +108,5 @@ SCORE_SCHEMA = "media_id long, model_name string, sentiment_label string, sentim
 @query("t07_stream_scores", ORACLES["l15_score_media"].replace(" AND m.media_id NOT IN (SELECT media_id FROM sentiment)", ""), complete=True)
 def _(t):
     docs = _streamed(t, "documents").media
-    table = jobs.Table(t.spark, jobs.new_folder(t.spark, "scores"), SCORE_SCHEMA)
+    table = jobs.scores_table(t.spark, jobs.new_folder(t.spark, "scores"), SCORE_SCHEMA)
     return flat(jobs.stream_scores(docs, table).read(), "media_id", "sentiment_label", "sentiment_score")

@@ -55,6 +55,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder has finished."""
+    files, place = _place(spark, f"{path}/_SUCCESS")
+    return files.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
 class Scratch:
     """Intermediate tables of one run, in a folder of their own below ``shared_dir``.
 
@@ -78,8 +95,6 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for frame, path in [k for k in self.kept if any(k[0] is f for f in frames)]:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            remove(self.spark, path)
             self.kept.remove((frame, path))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import constants as K
 from ..operators import merge, signals as sig
+from ..operators.keyed_table import KeyedTable, Step
 from ..session import shared_dir
 
 
@@ -42,40 +43,11 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{home}/data")
 
 
-class Table:
-    """A Parquet table replaced batch by batch, old versions kept readable.
+def _merge_stream(stream: DataFrame, table: KeyedTable, step: Step) -> KeyedTable:
+    """Apply each micro-batch to the buckets it hits; a batch that is run again counts once."""
 
-    Each batch writes version batch_id + 1 from the version before it, so a
-    batch that is run again after a failure writes the same version anew.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def read(self, version: int | None = None) -> DataFrame:
-        if version is None:
-            version = self.latest()
-        if version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version:010d}")
-
-    def latest(self) -> int:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return -1
-        done = [s.getPath().getName() for s in fs.listStatus(folder)]
-        done = [n for n in done if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return max((int(n[1:]) for n in done), default=-1)
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version:010d}")
-
-
-def _upsert_stream(stream: DataFrame, table: Table, step) -> Table:
     def batch(df: DataFrame, batch_id: int) -> None:
-        table.write(step(table.read(batch_id - 1), df), batch_id)
+        table.apply(df, step, batch_id)
 
     query = (
         stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{table.path}-ckpt")
@@ -87,9 +59,14 @@ def _upsert_stream(stream: DataFrame, table: Table, step) -> Table:
 TRADE_KEYS = ["member_name", "ticker", "transaction_date", "transaction_type", "amount_range_low"]
 
 
-def stream_filings(filings: DataFrame, table: Table, order: list[str] | None = None) -> Table:
+def filings_table(spark: SparkSession, path: str, schema: T.StructType | str, buckets: int = 64) -> KeyedTable:
+    """The table that ``stream_filings`` fills, new or as an earlier run left it."""
+    return KeyedTable(spark, path, schema, TRADE_KEYS, buckets)
+
+
+def stream_filings(filings: DataFrame, table: KeyedTable, order: list[str] | None = None) -> KeyedTable:
     """Incremental filing ingest: new keys are inserted, known ones skipped."""
-    return _upsert_stream(filings, table, lambda old, new: merge.insert_new(old, new, TRADE_KEYS, order or []))
+    return _merge_stream(filings, table, lambda old, new: merge.insert_new(old, new, TRADE_KEYS, order or []))
 
 
 def stream_media(media: DataFrame, event_time: str = "published_at", delay: str = "7 days") -> DataFrame:
@@ -204,7 +181,12 @@ def stream_expiry(signals: DataFrame, delay: str = "0 seconds") -> DataFrame:
         outputMode="Append", timeMode="EventTime")
 
 
-def stream_scores(media: DataFrame, table: Table, **options) -> Table:
+def scores_table(spark: SparkSession, path: str, schema: T.StructType | str, buckets: int = 64) -> KeyedTable:
+    """The table that ``stream_scores`` fills, placed by media_id: all models' scores of a row are in one bucket."""
+    return KeyedTable(spark, path, schema, ["media_id"], buckets)
+
+
+def stream_scores(media: DataFrame, table: KeyedTable, **options) -> KeyedTable:
     """Incremental media scoring into the sentiment table."""
     from ..learn.media import score_media
 
@@ -212,7 +194,7 @@ def stream_scores(media: DataFrame, table: Table, **options) -> Table:
         fresh = score_media(new, old, **options).select(*[f.name for f in old.schema.fields])
         return merge.upsert(old, fresh, ["media_id", "model_name"], [])
 
-    return _upsert_stream(media, table, step)
+    return _merge_stream(media, table, step)
 
 
 def start_alerts(signals: DataFrame, configs: DataFrame, write_batch, checkpoint: str, interval: str = "30 minutes"):
