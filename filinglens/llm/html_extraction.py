@@ -5,15 +5,18 @@
    never hold an article (scripts, styles, forms, navigation, page headers and
    footers, sidebars, and elements whose class, id or role says menu, advert,
    notice, comments and so on) leaves a line of length 0, a gap.
-2. Text lengths are summed over sliding windows of ``WINDOW`` lines. A surge is a
-   line where the window sum rises to a share of the page's largest; a dive is
-   where it falls to the floor. Lines with most of their text in links count 0.
+2. Text lengths are summed over sliding windows of ``WINDOW`` lines, a line counting
+   up to ``LINE`` characters, so that no single one sets the scale. A surge is a line
+   where the window sum rises to a share of the page's largest; a dive is where it
+   falls to the floor. Lines with most of their text in links count 0.
 3. The text between a surge and its dive is kept, blocks joined by one space.
 
-Where the page marks its article (``article``, ``main``, role=main), only lines
-inside it have length. There the floor is an empty window, as gaps alone end the
-text. A page without such marks uses a floor of ``FLOOR`` of the largest window.
+An article mark (``article``, ``main``, role=main) is a prior. If the marked lines hold
+at least ``TRUSTED`` of the text that the windows keep of the whole page, the windows
+go over the marked lines alone, where the floor is an empty window, as gaps alone
+end the text. A mark around less, a teaser say, is passed over.
 
+A tag that the page ends in has no text. A quote counts as one after ``=`` only.
 A null or empty page has an empty text. Unclosed tags, missing ends and stray
 closing tags are accepted; a repeated page_id is extracted once per row. Extra
 columns are ignored. The whole page is read, whatever its length.
@@ -34,12 +37,21 @@ WINDOW = 3
 #: A surge is this share of the largest window sum, a dive's floor is this share.
 SURGE, FLOOR = 0.2, 0.1
 LINKED = 0.5
+#: Characters of a line that its window counts at most; all of a kept line is kept.
+LINE = 300
+#: Share of the kept text from which on an article mark is believed.
+TRUSTED = 0.5
 
+# possessive, and open to the page's end: no part of a page is scanned again for each of its tags
+_ATTRIBUTES = r"(?:[^>=]+|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|select)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    rf"{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I)
-_NAMED = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=[\s=/]|\Z)", re.I)
+_UNSEEN = re.compile(r"(?<![\w-])(?:style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*)display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 # Element names of HTML, by what they do to the text.
@@ -57,21 +69,29 @@ OFF_WORDS = frozenset(
     "consent contentinfo cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter "
     "notice notices pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup "
     "skip social sponsor sponsored subscribe toolbar widget".split())
+#: Whole class names of an article element that is a reader's comment.
+COMMENTS = frozenset("comment reply response".split())
+#: Names that mark readers' talk where they stand outside the article.
+TALK = frozenset("discussion discussions responses".split())
 
 
 def _off(name: str, attributes: str, in_article: bool) -> bool:
     if name in DROPPED or (name == "header" and not in_article):
         return True
-    if "=" not in attributes or name in ("html", "body", "article", "main"):
+    if name in ("html", "body", "main"):
         return False
-    if re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I):
+    if _HIDDEN.search(_VALUE.sub("=", attributes)) or _UNSEEN.search(attributes):
         return True
     for m in _NAMED.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
+        if name == "article":
+            if m[1].lower() == "class" and COMMENTS & set(value.split()):
+                return True
+            continue
         found = set(_WORDS.findall(value))
         if in_article or found & OWN_WORDS:
             found.discard("header")
-        if m[1].lower() != "aria-label" and OFF_WORDS & found:
+        if m[1].lower() != "aria-label" and (OFF_WORDS & found or (not in_article and TALK & found)):
             return True
     return False
 
@@ -83,7 +103,8 @@ class _Lines:
         self.rows: list[tuple[str, int, bool]] = []
         self.parts: list[str] = []
         self.loose = 0
-        self.article = self.link = 0
+        self.link = 0
+        self.marked = False
         self.off: str | None = None
         self.depth = 0
         self.main: list[str] = []
@@ -125,7 +146,7 @@ class _Lines:
             elif closing and name in ("article", "main", "body", "html") and name in (*self.main, "body", "html"):
                 self.off, self.depth = None, 0
                 self.tag(name, closing, attributes)
-            elif not closing and name in ("article", "main") and self.off not in ("form",) and not self.main:
+            elif not closing and name in ("article", "main") and self.off not in ("form",) and not self.marked and not _off(name, attributes, False):
                 self.off, self.depth = None, 0  # an unclosed element before the article
                 self.tag(name, closing, attributes)
             return
@@ -139,32 +160,37 @@ class _Lines:
             self.link = 0 if closing else 1
         if not closing and (name in ("article", "main") or re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I)):
             self.main.append(name)
+            self.marked = True
         elif closing and name in self.main:
             while self.main.pop() != name:
                 pass
 
 
-def main_text(page: str | None) -> str:
-    """The text between the surges and dives of one page."""
-    rows = _Lines(page or "").rows
-    marked = any(inside and text for text, _, inside in rows)
-    lengths = [
-        0 if marked and not inside else len(text) if marked or loose >= LINKED * len(text) else 0 for text, loose, inside in rows]
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
+def _between(lengths: list[int], surge: float, floor: float) -> list[int]:
+    """The lines with length between the surges and dives of the window sums, thresholds as shares of the largest."""
+    counted = [min(n, LINE) for n in lengths]
+    sums = [sum(counted[i : i + WINDOW]) for i in range(len(counted))]
     top = max(sums, default=0)
-    if not top:
-        return ""
-    surge, floor = (1, 0) if marked else (SURGE * top, FLOOR * top)
     kept, i = [], 0
-    while i < len(sums):
-        if sums[i] < surge:
+    while top and i < len(sums):
+        if not sums[i] or sums[i] < surge * top:
             i += 1
             continue
-        while i < len(sums) and sums[i] > floor:
+        while i < len(sums) and sums[i] > floor * top:
             if lengths[i]:
-                kept.append(rows[i][0])
+                kept.append(i)
             i += 1
-    return " ".join(kept)
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    """The text between the surges and dives of one page."""
+    rows = _Lines(page or "").rows
+    kept = _between([len(text) if loose >= LINKED * len(text) else 0 for text, loose, _ in rows], SURGE, FLOOR)
+    marked = [len(text) if inside else 0 for text, _, inside in rows]
+    if any(marked) and sum(marked) >= TRUSTED * sum(len(rows[i][0]) for i in kept):
+        kept = _between(marked, 0.0, 0.0)
+    return " ".join(rows[i][0] for i in kept)
 
 
 def _extract(batches):

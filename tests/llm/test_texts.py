@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import struct
 
 import pytest
@@ -131,6 +132,39 @@ def test_html_without_article_marks():
     assert html_extraction.main_text(page).startswith("plain text") and "next" not in html_extraction.main_text(page)
 
 
+def test_html_mark_is_a_prior():
+    body = [f"paragraph {i} " + "says a good deal about the matter at hand " * 4 for i in range(10)]
+    want = " ".join(" ".join(b.split()) for b in body)
+    text = "".join(f"<p>{b}</p>" for b in body)
+    main_text = html_extraction.main_text
+    # the only mark is a teaser, the body a plain element
+    assert main_text(f"<body><div>{text}</div><hr><hr><hr><article>Read this!</article></body>") == want
+    assert main_text(f"<body><article><h1>T</h1>{text}<p>End.</p></article><p>{'outside ' * 30}</p></body>") == "T " + want + " End."
+    # one very long block does not set the scale of the others
+    assert main_text(f"<body><div><p>{'word ' * 3000}</p></div>{text}</body>") == " ".join(["word"] * 3000) + " " + want
+
+
+def test_html_names_and_comments():
+    main_text = html_extraction.main_text
+    for attributes in ("style='overflow:hidden'", "data-note='hidden treasure'", 'data-id="nav"', "data-x=it's", 'title="a > b"'):
+        assert main_text(f"<article><p {attributes}>One.</p><p>Two.</p></article>") == "One. Two.", attributes
+    for attributes in ("hidden", "hidden=''", "class=x hidden", "style='color:red; display: none'", "aria-hidden=true"):
+        assert main_text(f"<article><p {attributes}>One.</p><p>Two.</p></article>") == "Two.", attributes
+    talk = ("<article class='comment odd'><p>No!</p></article>", "<div id='discussion'><article><p>No!</p></article></div>",
+            "<section class='comments'><article><p>No!</p></article></section>")
+    for other in talk:
+        assert main_text(f"<article class='post has-comments'><p>Story.</p></article>{other}") == "Story.", other
+    assert main_text("<article><section id='discussion'><p>Found.</p></section></article>") == "Found."
+
+
+def test_html_broken_markup_in_linear_time():
+    for piece in ("<a '", '<b x="', "<!", "<a b=", "</p ", "<script ", "<p class='"):
+        start = time.time()
+        html_extraction.main_text("<p>Before.</p>" + piece * (1_000_000 // len(piece)))
+        assert time.time() - start < 5, piece
+    assert html_extraction.main_text("<p>Before.</p><p x=\"") == "Before."
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 3), (2, None, None, 4), (2, "v", "", 5)], "page_id long, url string, html string, n_chars int")
     rows = html_extraction.extract(pages).orderBy("page_id", "url").collect()
