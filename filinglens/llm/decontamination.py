@@ -4,7 +4,8 @@
    by their inverse document frequency over all documents. An item's content words
    are those in at most ``CONTENT`` of the documents, or in no more than its median
    word (an item that leaks often is not common language), or all if these are fewer
-   than 3; words that are no item's content weigh nothing.
+   than 3; words that are no item's content weigh nothing. The whole passages of an
+   item longer than a window have their own content words by the same rule.
 2. A distributed randomised SVD of the passages' TF-IDF matrix: partitions of
    passages add up their part of A'(A W) for a random W, twice with an
    orthogonalisation between, then the small Gram matrix that gives the axes. A
@@ -15,12 +16,19 @@
    (the product before scaling over the passage's length), are candidates.
 4. A candidate is checked around its window: the longest common subsequence of
    weighed words must reach ``SAME`` of the item's, or ``PARAPHRASE`` of them when at least ``ANSWER`` of
-   the item's answer, the weighed words of its last sentence, occur there too.
+   the item's answer, the weighed words of its last sentence, occur there too. An
+   item longer than a window leaks by part as well: where ``SAME`` of the content of
+   one of its passages of ``WINDOW`` words is found in order, so that a run of 48
+   words or more out of an item of any length is judged as one of an item of 48.
 
 Items are worked off in blocks of bounded number and words; each block is one pass
 over the documents, to which only the block's model is broadcast: the items, and
 their at most ``BLOCK_WORDS`` words by as many axes as they have passages. No document meets another and no text is shuffled.
 
+``common`` is the share of the item's content that was found, or of the passage's
+where only a passage leaks. Whether a row leaks depends on its text alone: ``clean``
+goes by the text's SHA-256, rows without a doc_id or with a repeated one included.
+
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Null
 or empty texts and items match nothing. Rows that repeat a doc_id or an item_id
 repeat their pairs once per doc_id and item_id and row. Extra columns are ignored.
@@ -28,6 +36,7 @@ repeat their pairs once per doc_id and item_id and row. Extra columns are ignore
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from typing import NamedTuple
@@ -190,6 +199,7 @@ class Model(NamedTuple):
     item_of: np.ndarray
     ids: list[int]
     content: list[np.ndarray]
+    own: list[np.ndarray]
     answer: list[np.ndarray]
     sizes: list[int]
     mass: float
@@ -223,19 +233,25 @@ def model(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]]) ->
         return None
     vocabulary = weighed(docs, Vocabulary(np.concatenate(hashes)))
     index = [vocabulary.index(h) for h in hashes]
-    content = []
-    for at in index:
+
+    def content_of(at: np.ndarray) -> np.ndarray:
         share = vocabulary.share[at]
         rare = at[share <= max(CONTENT, float(np.median(share)))] if len(at) else at
-        content.append(rare if len(rare) >= 3 else at)
+        return rare if len(rare) >= 3 else at
+
+    content = [content_of(at) for at in index]
+    # what a passage is judged by itself on; a shorter one is judged with its item only
+    parts = {(i, a): content_of(at[a:b]) for i, at in enumerate(index) for a, b in _cut(len(at)) if b - a == WINDOW < len(at)}
     used = np.zeros(len(vocabulary.words), bool)
-    used[np.concatenate(content)] = True
+    used[np.concatenate([*content, *parts.values()])] = True
     weight = vocabulary.weight = np.where(used, vocabulary.weight, 0.0)
     answer = []
     for _, text in items:
         last = vocabulary.index(_hashed(_SENTENCE.split(text.strip())[-1]))
         answer.append(np.unique(last[used[last]]))
-    rows = [(i, at[a:b].tolist()) for i, at in enumerate(index) for a, b in _cut(len(at)) if used[at[a:b]].any()]
+    places = [(i, a, b) for i, at in enumerate(index) for a, b in _cut(len(at)) if used[at[a:b]].any()]
+    rows = [(i, index[i][a:b].tolist()) for i, a, b in places]
+    own = [parts.get((i, a), index[i][:0]) for i, a, _ in places]
     passages = spark.createDataFrame(rows, "item int, words array<int>")
     loading = axes(passages, weight, len(rows))
     vectors = np.array([value @ loading[at] for at, value in (_row(words, weight) for _, words in rows)])
@@ -245,7 +261,7 @@ def model(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]]) ->
     lengths = np.array([float(np.sqrt(((n * weight[at]) ** 2).sum())) for at, n in counted])
     return Model(
         vocabulary, (weight[:, None] * loading).astype(np.float32), vectors.astype(np.float32), lengths.astype(np.float32),
-        np.array([i for i, _ in rows]), [i for i, _ in items], content, answer, [len(at) for at in index], MASS * min(masses))
+        np.array([i for i, _ in rows]), [i for i, _ in items], content, own, answer, [len(at) for at in index], MASS * min(masses))
 
 
 def _windows(w: tx.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,27 +315,34 @@ def _search(sent):
                 reach = m.sizes[item]
                 region = at[max(w.first[text], start[part[j]] - reach) : min(w.first[text + 1], end[part[j]] + reach)]
                 same, answer = _check(m, item, region.tolist())
-                if same >= SAME or (same >= PARAPHRASE and answer >= ANSWER):
+                found = same >= SAME or (same >= PARAPHRASE and answer >= ANSWER)
+                if not found and len(m.own[p]) >= 3:
+                    region = at[max(w.first[text], start[part[j]] - WINDOW) : min(w.first[text + 1], end[part[j]] + WINDOW)]
+                    same = common_subsequence(m.own[p].tolist(), region.tolist()) / len(m.own[p])
+                    found = same >= SAME
+                if found:
                     if not before or same > before[1]:
                         best[text, item] = (float(cosine[j, p]), same, answer)
         if not best:
             return None
-        ids = batch.column("doc_id").take(pa.array([text for text, _ in best]))
+        at = pa.array([text for text, _ in best])
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in batch.column("text").take(at).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array([m.ids[item] for _, item in best], pa.int64()), *(pa.array(c, pa.float64()) for c in zip(*best.values()))],
-            ["doc_id", "item_id", "cosine", "common", "answer"])
+            [batch.column("doc_id").take(at), pa.array([m.ids[item] for _, item in best], pa.int64()),
+             *(pa.array(c, pa.float64()) for c in zip(*best.values())), pa.array(digests, pa.string())],
+            ["doc_id", "item_id", "cosine", "common", "answer", "digest"])
 
     return tx.per_chunk(work)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, cosine and the shares of content and answer found, for each leaked item of each document."""
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The leaks with the SHA-256 of the text."""
     spark, rows = docs.sparkSession, tx.documents(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(
         "item_id IS NOT NULL AND text IS NOT NULL")
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()
     blocks = max(1, -(-count // BLOCK_ITEMS), -(-size // (8 * BLOCK_WORDS)))
-    schema = "doc_id long, item_id long, cosine double, common double, answer double"
+    schema = "doc_id long, item_id long, cosine double, common double, answer double, digest string"
     out = spark.createDataFrame([], schema)
     for i in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).orderBy("item_id", "text")
@@ -329,10 +352,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, cosine and the shares of content and answer found, for each leaked item of each document."""
+    return _found(docs, benchmark).drop("digest")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that leak an item. The leaks are a small side of the join; it is not broadcast by hint."""
-    found = leaks(docs, benchmark).select("doc_id").distinct().withColumnRenamed("doc_id", "_leaked")
-    return docs.join(found, docs["doc_id"].cast("long") == found["_leaked"], "left_anti")
+    """The rows whose text leaks no item. The leaks are a small side of the join; it is not broadcast by hint."""
+    found = _found(docs, benchmark).select("digest").distinct()
+    return docs.join(found, F.sha2(docs["text"].cast("string"), 256) == found["digest"], "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

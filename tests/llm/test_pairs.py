@@ -195,6 +195,23 @@ def test_paraphrases_and_clean_texts(spark):
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_parts_of_long_items_and_rows_without_id(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    filler = lambda n: [word() for _ in range(n)]
+    items = [filler(n) for n in (120, 200, 120, 1000, 130)]
+    cuts = [(0, 31, 91), (1, 7, 107), (2, 0, 80), (3, 517, 577), (4, 70, 130), (0, 10, 30), (3, 100, 125)]
+    texts = [" ".join(filler(150) + items[i][a:b] + filler(90)) for i, a, b in cuts]
+    clear = " ".join(filler(300))
+    rows = [*enumerate(texts), (None, texts[0]), (0, clear), (None, clear), (9, clear), (9, None)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, digest string, _leaked string")
+    bench = spark.createDataFrame([(i, " ".join(w) + ".") for i, w in enumerate(items)], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted([(0, 0), (None, 0), (1, 1), (2, 2), (3, 3), (4, 4)], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in decontamination.clean(docs, bench).collect()]
+    assert sorted(kept, key=str) == sorted([(5, texts[5]), (6, texts[6]), (0, clear), (None, clear), (9, clear), (9, None)], key=str)
+
+
 def test_blocks_find_what_one_block_finds(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     one = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, items).collect()}
