@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -61,8 +62,52 @@ def indel_ratio(a: str, b: str) -> float:
     return 2.0 * (len(a) - bin(state).count("1")) / (len(a) + len(b))
 
 
+#: Letters that one machine word of the vectorised comparison holds, and pairs compared at once.
+WORD_LETTERS, PAIRS_AT_ONCE = 63, 2048
+
+
+def _codes(texts: np.ndarray) -> np.ndarray:
+    """Code points of texts, a row each, padded with 0."""
+    return np.ascontiguousarray(texts).view(np.uint32).reshape(len(texts), -1)
+
+
+def common_letters(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair, all pairs advancing by one letter of ``b`` a step.
+
+    The letters of ``a``, at most ``WORD_LETTERS``, are the bits of a word; texts hold no NUL.
+    """
+    known, which = np.unique(np.array(a, dtype=f"<U{max(map(len, a)) or 1}"), return_inverse=True)
+    own, other = _codes(known), _codes(np.array(b, dtype=f"<U{max(map(len, b)) or 1}"))
+    alphabet = np.unique(own[own > 0])
+    masks = np.zeros((len(known), len(alphabet) + 1), np.uint64)  # the last column is of letters that no ``a`` has
+    for i in range(own.shape[1]):
+        rows = np.flatnonzero(own[:, i])
+        masks[rows, np.searchsorted(alphabet, own[rows, i])] |= np.uint64(1 << i)
+    place = np.searchsorted(alphabet, other)
+    found = place < len(alphabet)
+    found[found] = alphabet[place[found]] == other[found]
+    place[~found] = len(alphabet)
+    size = np.array([len(x) for x in a], np.uint64)
+    full = (np.uint64(1) << size) - np.uint64(1)
+    state = full.copy()
+    for j in range(other.shape[1]):
+        shared = state & masks[which, place[:, j]]
+        state = ((state + shared) | (state - shared)) & full
+    return size.astype(np.int64) - np.bitwise_count(state)
+
+
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([int(100 * indel_ratio(x, y) + 0.5) / 100.0 for x, y in zip(a, b)], dtype="float64")
+    """Similarity of each pair, rounded half up to two places; longer texts than a word holds go one by one."""
+    left, right = a.tolist(), b.tolist()
+    out = np.zeros(len(left))
+    short = [i for i, x in enumerate(left) if 0 < len(x) <= WORD_LETTERS]
+    for k in range(0, len(short), PAIRS_AT_ONCE):
+        part = short[k : k + PAIRS_AT_ONCE]
+        xs, ys = [left[i] for i in part], [right[i] for i in part]
+        out[part] = 2.0 * common_letters(xs, ys) / np.array([len(x) + len(y) for x, y in zip(xs, ys)])
+    for i in sorted(set(range(len(left))) - set(short)):
+        out[i] = indel_ratio(left[i], right[i])
+    return pd.Series(np.floor(100 * out + 0.5) / 100.0, dtype="float64")
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, least: float = K.FUZZY_MIN) -> DataFrame:

@@ -438,23 +438,71 @@ def _(t):
     return flat(resolve.match_exact(_names(t), resolve.ticker_lookup(t.trades)))
 
 
-@query("e04_match_fuzzy")
+# The longest common subsequence by rows: each new row is the running maximum of what the letter of ``a`` adds to the old one.
+LCS_SQL = """list_max(list_reduce(
+    list_prepend(list_transform(string_split(b, ''), lambda y: 0),
+      list_transform(string_split(a, ''), lambda x: list_transform(string_split(b, ''), lambda y: CASE WHEN x = y THEN 1 ELSE 0 END))),
+    lambda r, e: list_transform([list_transform(range(1, len(e) + 1), lambda k: greatest(r[k], coalesce(r[k - 1], 0) + e[k]))],
+      lambda v: list_transform(range(1, len(v) + 1), lambda j: list_max(v[1:j])))[1]))"""
+
+
+def _fuzzy_views(names: str) -> dict[str, str]:
+    """View ``fuzzy`` (name, ticker, score) over the names (name, normal) of a view; pairs that cannot reach the least score are not compared."""
+    words = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
+    return {
+        "known_text": f"SELECT normalised, ticker, {words.format('normalised')} AS b FROM lookup",
+        "asked_text": f"SELECT name, {words.format('normal')} AS a FROM {names} WHERE normal <> ''",
+        "text_pair": f"""SELECT a, b FROM (SELECT DISTINCT a FROM asked_text), (SELECT DISTINCT b FROM known_text)
+            WHERE 2 * least(length(a), length(b)) >= {K.FUZZY_MIN - 0.005} * (length(a) + length(b))""",
+        "text_score": f"SELECT a, b, floor(100 * (2.0 * {LCS_SQL} / (length(a) + length(b))) + 0.5) / 100.0 AS score FROM text_pair",
+        "fuzzy": f"""SELECT name, ticker, score FROM asked_text JOIN (
+            SELECT a, ticker, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, normalised) AS place
+            FROM text_score JOIN known_text USING (b) WHERE score >= {K.FUZZY_MIN}) USING (a) WHERE place = 1""",
+    }
+
+
+FUZZY_SQL = f"SELECT name, ticker, {R('score')} AS confidence, CASE WHEN score >= {K.FUZZY_HIGH} THEN 'fuzzy' ELSE 'fuzzy_low' END AS method FROM fuzzy"
+
+
+def _cascade_views(names: str) -> dict[str, str]:
+    """View ``resolved`` (name, ticker, confidence, method) over the names of a view: override, exact, fuzzy."""
+    return {
+        "by_hand": f"SELECT name, {OVERRIDE_SQL} AS ticker FROM {names} WHERE {OVERRIDE_SQL} IS NOT NULL",
+        "by_name": f"SELECT name, l.ticker FROM {names} JOIN lookup l ON l.normalised = normal WHERE name NOT IN (SELECT name FROM by_hand)",
+        "left_over": f"""SELECT name, normal FROM {names} WHERE name NOT IN (SELECT name FROM by_hand)
+            AND name NOT IN (SELECT name FROM by_name)""",
+        **_fuzzy_views("left_over"),
+        "resolved": f"""SELECT name, ticker, {R('0.99')} AS confidence, 'manual' AS method FROM by_hand
+            UNION ALL SELECT name, ticker, {R('1.0')}, 'exact' FROM by_name UNION ALL {FUZZY_SQL}""",
+    }
+
+
+@query("e04_match_fuzzy", FUZZY_SQL, NAMED | _fuzzy_views("named"))
 def _(t):
     return flat(resolve.match_fuzzy(_names(t), resolve.ticker_lookup(t.trades)))
 
 
-@query("e05_resolve_names")
+@query("e05_resolve_names", "SELECT name, ticker, confidence, method FROM resolved", NAMED | _cascade_views("named"))
 def _(t):
     return flat(resolve.resolve_names(_names(t), resolve.ticker_lookup(t.trades), OVERRIDES))
 
 
-@query("e06_resolve_clients")
+@query("e06_resolve_clients", """SELECT n.name, CASE WHEN length(n.name) % 2 = 0 THEN 'KNOWN' ELSE r.ticker END AS matched_ticker,
+    r.confidence AS match_confidence, r.method AS match_method, CASE WHEN r.name IS NOT NULL THEN n.normal END AS normalized_name
+    FROM named n LEFT JOIN resolved r ON r.name = n.name""", NAMED | {
+    "open_client": "SELECT name, normal FROM named WHERE length(name) % 2 = 1"} | _cascade_views("open_client"))
 def _(t):
     clients = _names(t).select("name", F.when(F.length("name") % 2 == 0, "KNOWN").alias("matched_ticker"))
     return flat(resolve.resolve_clients(clients, t.trades, OVERRIDES))
 
 
-@query("e07_resolve_employers")
+@query("e07_resolve_employers", f"""SELECT l_orderkey || '-' || l_linenumber AS fec_transaction_id, name AS contributor_employer,
+    CASE WHEN l_linenumber = 1 THEN 'KNOWN' ELSE r.ticker END AS matched_ticker, CASE WHEN l_linenumber > 1 THEN r.confidence END AS match_confidence
+    FROM lineitem JOIN employer ON p_partkey = l_partkey LEFT JOIN resolved r USING (name)""", NAMED | {
+    "employer": """SELECT p_partkey, replace(lower(p_name), 'cold', 'ld') AS normal,
+        array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') || ' Corp' AS name FROM part""",
+    "open_employer": """SELECT DISTINCT name, normal FROM employer WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber > 1)""",
+    } | _cascade_views("open_employer"))
 def _(t):
     parts = t.raw("part").select("p_partkey", F.concat(F.initcap("p_name"), F.lit(" Corp")).alias("contributor_employer"))
     c = t.raw("lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(parts, "p_partkey").select(

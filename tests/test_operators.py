@@ -1,9 +1,10 @@
 """Edge cases on small frames."""
 
 import itertools
+import random
 from datetime import date, datetime, timedelta
 
-
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,24 @@ def test_fuzzy_matching_equals_brute_force(spark):
     assert got == {a: s for a, s in expected.items() if s >= K.FUZZY_MIN}
 
 
+def test_common_subsequences_of_all_lengths():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcé 漢\U0001f600", k=rng.choice([1, 2, 5, 31, 62, 63, 64, 90]))) for _ in range(400)] + ["", "a", "z" * 63]
+    left, right = texts, rng.sample(texts, len(texts))
+    got = resolve._similarity(pd.Series(left), pd.Series(right)).tolist()
+    assert got == [int(100 * resolve.indel_ratio(a, b) + 0.5) / 100 for a, b in zip(left, right)]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for ch in a:
+            old = row[:]
+            for j, other in enumerate(b):
+                row[j + 1] = old[j] + 1 if ch == other else max(old[j + 1], row[j])
+        return row[-1]
+    short = [(a, b) for a, b in zip(left, right) if 0 < len(a) <= resolve.WORD_LETTERS][:60]
+    assert resolve.common_letters(*map(list, zip(*short))).tolist() == [lcs(a, b) for a, b in short]
+
+
 def test_override_before_exact_before_fuzzy(spark):
     lookup = spark.createDataFrame([("acme widgets", "ACW"), ("apple", "X")], "normalised string, ticker string")
     names = spark.createDataFrame([("Apple Inc.",), ("Acme Widgets LLC",), ("Acme Widgetts",), ("zzz",)], "name string")
