@@ -11,7 +11,10 @@ Rules of the library, kept exactly:
   only if its sum is strictly greater, so ties go to the earliest start;
 - a character without a piece of its own costs the least score minus 10 and counts
   as its UTF-8 bytes where the model falls back to bytes, else as one;
-- sums are exact (whole-number scores), as the library's are for texts of any length.
+- whole-number scores are summed exactly, as the library sums them while they fit its 24 bits;
+- other scores (log-probabilities) are summed in 32-bit floats from the start of the
+  text, a text being one chain; where the best sum falls below ``REBASE``, it is taken
+  off it and the open ends, as the library does. Rounding decides near ties.
 
 Some files give their runs of spaces a score near minus infinity (``SENTINEL`` or
 less), beside which every other score is lost to the library's rounding. ``load``
@@ -19,8 +22,14 @@ lifts such scores to one less than the least real score, and the results are tho
 of the library under the vocabulary so lifted.
 
 No piece joins a space to what stands before it, so a text falls into stretches
-(spaces and the word after them) whose counts add up. The counts of up to
-``MEMORY`` stretches are remembered per task.
+(spaces and the word after them) whose counts add up where sums are exact. The counts
+of up to ``MEMORY`` stretches are remembered per task.
+
+Matches come by their end, longest first, and are used at once; of the sums, only as
+many as the longest piece has characters are kept. Memory does not grow with a stretch.
+
+A model whose normaliser rewrites characters, folds spaces or adds no space in front is
+refused, as are user-defined pieces.
 
 A null or empty text has 0 tokens. Texts are whole, of any length; repeated rows
 are counted per row; extra columns are ignored.
@@ -32,6 +41,7 @@ import re
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,16 +52,26 @@ MEMORY = 600_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10
 SENTINEL = -(10**8)
+REBASE = -100_000.0  # fixed value
 _STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 class Vocabulary(NamedTuple):
-    """Pieces with whole-number scores, the score of an unknown character, and the byte fallback."""
+    """Pieces with scores (whole numbers, or values of 32-bit floats), the score of an unknown character, and the byte fallback."""
 
-    scores: dict[str, int]
-    unknown: int
+    scores: dict[str, int | float]
+    unknown: int | float
     bytes_fallback: bool
 
+    @property
+    def exact(self) -> bool:
+        return isinstance(self.unknown, int)
+
+
+def _single(x: int | float) -> int | float:
+    """The nearest 32-bit float; whole numbers stay exact."""
+    return x if isinstance(x, int) else float(np.float32(x))
+
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
@@ -92,18 +112,23 @@ def load(path: str = VOCABULARY) -> Vocabulary:
             piece = dict(_fields(value))
             score = struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0
             if piece.get(3, 1) == 1:
-                if score != int(score):
-                    raise ValueError("only vocabularies with whole-number scores are counted exactly")
-                scores[piece[1].decode()] = int(score)
+                scores[piece[1].decode()] = score
             elif piece[3] in (4, 5):
                 raise ValueError("user-defined and unused pieces are not supported")
         elif field == 2:
             fallback = bool(dict(_fields(value)).get(35, 0))
+        elif field == 3:
+            normaliser = dict(_fields(value))
+            if normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(3, 1):
+                raise ValueError("the model's normaliser changes texts")
+    if not scores:
+        raise ValueError("the model has no pieces")
     if any(SPACE in p.lstrip(SPACE) for p in scores):
         raise ValueError("a piece joins a space to what stands before it")
     least = min((v for v in scores.values() if v > SENTINEL), default=0)
-    scores = {k: v if v > SENTINEL else least - 1 for k, v in scores.items()}
-    return Vocabulary(scores, min(scores.values()) - UNKNOWN_PENALTY, fallback)
+    kind = int if all(v == int(v) for v in scores.values()) else float
+    scores = {k: kind(v if v > SENTINEL else least - 1) for k, v in scores.items()}
+    return Vocabulary(scores, _single(min(scores.values()) - UNKNOWN_PENALTY), fallback)
 
 
 class Counter:
@@ -115,33 +140,58 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.vocabulary = vocabulary
+        self.kept = max(map(len, vocabulary.scores)) + 1
         self.known: dict[str, int] = {}
 
-    def _edges_of(self, stretch: str) -> list[tuple[int, int, int, int]]:
-        """Matches as (end, start, score, pieces), by end and start; a character without its own piece has an unknown one."""
-        found = [(end + 1, end + 1 - n, score, 1) for end, (n, score) in self.automaton.iter(stretch)]
-        single = {e for e, s, _, _ in found if e - s == 1}
-        unknown, fallback = self.vocabulary.unknown, self.vocabulary.bytes_fallback
-        found += [
-            (i + 1, i, unknown, len(c.encode("utf-8", "surrogatepass")) if fallback else 1)
-            for i, c in enumerate(stretch) if i + 1 not in single]
-        found.sort()
-        return found
-
     def pieces(self, stretch: str) -> int:
-        """Pieces of the best path over a stretch."""
-        n = len(stretch)
-        sums, pieces = [0] * (n + 1), [-1] * (n + 1)
-        pieces[0] = 0
-        for end, begin, score, count in self._edges_of(stretch):
-            now = sums[begin] + score
-            if pieces[end] < 0 or now > sums[end]:
-                sums[end], pieces[end] = now, pieces[begin] + count
-        return pieces[n]
+        """Pieces of the best path over a stretch; a character without its own piece has an unknown one."""
+        unknown, fallback, kept = self.vocabulary.unknown, self.vocabulary.bytes_fallback, self.kept
+        floats = not self.vocabulary.exact
+        sums, pieces, eras = [type(unknown)(0)] * kept, [0] * kept, [0] * kept
+        bases: list[float] = []
+
+        def rounded(total: float, era: int) -> float:
+            """A sum as a 32-bit float, less the bases set after its begin."""
+            total = _single(total)
+            for base in bases[era:]:
+                total = _single(total - base)
+            return total
+
+        matches = self.automaton.iter(stretch)
+        last, piece = next(matches, (-1, None))
+        for i, c in enumerate(stretch):
+            best = count = None
+            single = False
+            while last == i:
+                n, score = piece
+                begin = (i + 1 - n) % kept
+                now = sums[begin] + score
+                if floats:
+                    now = rounded(now, eras[begin])
+                if best is None or now > best:
+                    best, count = now, pieces[begin] + 1
+                single = n == 1
+                last, piece = next(matches, (-1, None))
+            if not single:
+                begin = i % kept
+                now = sums[begin] + unknown
+                if floats:
+                    now = rounded(now, eras[begin])
+                if best is None or now > best:
+                    best, count = now, pieces[begin] + (len(c.encode("utf-8", "surrogatepass")) if fallback else 1)
+            end = (i + 1) % kept
+            if floats and best < REBASE:
+                bases.append(best)
+                best = 0.0
+            sums[end], pieces[end], eras[end] = best, count, len(bases)
+        return pieces[len(stretch) % kept]
 
     def count(self, text: str) -> int:
         total, known = 0, self.known
-        for stretch in _STRETCH.findall(SPACE + text.replace(" ", SPACE)):
+        text = SPACE + text.replace(" ", SPACE)
+        if not self.vocabulary.exact:
+            return self.pieces(text)
+        for stretch in _STRETCH.findall(text):
             n = known.get(stretch)
             if n is None:
                 if len(known) >= MEMORY:

@@ -5,6 +5,7 @@ import math
 import re
 import time
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -298,6 +299,58 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.count_tokens(table.limit(0)).count() == 0
 
 
+def _with_scores(data, score):
+    """The model file with ``score(piece)`` for each of its normal pieces."""
+    out, at = b"", 0
+    while at < len(data):
+        begin = at
+        key, at = token_counts._varint(data, at)
+        size, at = token_counts._varint(data, at)
+        body, at = data[at : at + size], at + size
+        piece = dict(token_counts._fields(body)) if key >> 3 == 1 else {}
+        if piece and piece.get(3, 1) == 1:
+            place = 2 + len(piece[1])
+            assert body[place : place + 1] == b"\x15"
+            body = body[: place + 1] + struct.pack("<f", score(piece[1])) + body[place + 5 :]
+            out += data[begin : at - size] + body
+        else:
+            out += data[begin:at]
+    return out
+
+
+@pytest.mark.parametrize("score", [lambda p: -0.1 * (1 + zlib.crc32(p) % 40), lambda p: -3 - (zlib.crc32(p) % 99991) / 7919])
+def test_token_counts_of_float_scores_equal_the_library(spark, tmp_path, score):
+    import sentencepiece
+
+    with open(token_counts.VOCABULARY, "rb") as file:
+        data = _with_scores(file.read(), score)
+    (tmp_path / "floats.model").write_bytes(data)
+    library = sentencepiece.SentencePieceProcessor(model_proto=_as_unigram(data, 0.0))
+    words = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    texts = [t for t in [*EDGES, "  two  spaces ", "漢字 ▁ x\n\ny", *words, " ".join(words), "".join(words).replace(" ", "")] if t]
+    rows = token_counts.count_tokens(docs(spark, *texts), str(tmp_path / "floats.model")).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in rows] == [len(library.encode(t)) for t in texts]
+
+
+def test_token_counts_keep_memory_bounded():
+    import tracemalloc
+
+    counter = token_counts.Counter(token_counts.load())
+    text = "abcdefghij" * 30_000
+    tracemalloc.start()
+    assert counter.count(text) > 0
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(text)  # copies of the text, nothing a match
+    tracemalloc.stop()
+
+
+def test_token_counts_refuse_a_normaliser(tmp_path):
+    with open(token_counts.VOCABULARY, "rb") as file:
+        data = file.read()
+    (tmp_path / "folds.model").write_bytes(data + b"\x1a\x02\x20\x01")  # remove_extra_whitespaces
+    with pytest.raises(ValueError, match="normaliser"):
+        token_counts.load(str(tmp_path / "folds.model"))
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = catalog.QUERIES["op8_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
