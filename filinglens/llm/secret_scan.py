@@ -10,9 +10,13 @@ ordinary identifiers, by ``MIN_RATIO`` in total and ``MIN_MEAN`` a transition (n
 
 The models are transition counts with additive smoothing, trained from labelled
 documents. Random strings are the values that the patterns find in at most about
-``MAX_LABELLED`` of them; ordinary identifiers are the words of 8 or more letters
-of at most about ``MAX_ORDINARY`` that are labelled as good. Where a table has
-more, a hash of doc_id picks them. Every document is scanned whole.
+``MAX_LABELLED`` of them, as they are and in capitals and small letters; ordinary
+identifiers are the words of 8 or more letters of at most about ``MAX_ORDINARY`` that
+are labelled as good, and what programmers make of neighbouring words (``_joins``), so
+that the transitions at their seams are ordinary too. Where a table has more, a hash of
+doc_id picks them. A quarter of the words, by a hash, trains nothing: the mean ratio
+that all but ``FALSE_HITS`` of their identifiers of 16 or more characters stay below is
+the least mean of a secret, if it is above ``MIN_MEAN``. Every document is scanned whole.
 
 Positions are code points, ends exclusive. To find them, a match is put between
 private-use characters and the text split there; these characters are replaced in
@@ -41,7 +45,8 @@ RUN = r"[A-Za-z0-9+/_=-]{16,}"
 WORD = r"[A-Za-z_-]{8,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SMOOTHING = 0.5
-MIN_RATIO, MIN_MEAN = 8.0, 0.4
+MIN_RATIO, MIN_MEAN = 8.0, 1.0
+FALSE_HITS = 0.005
 MAX_LABELLED, MAX_ORDINARY = 20000, 1000
 
 _OPEN, _VALUE, _CLOSE = "", "", ""
@@ -88,12 +93,36 @@ def base_spans(docs: DataFrame, *keep: str) -> DataFrame:
         *[F.filter(_spans(F.col(f"_{k}")), _at_least(n)).alias(k) for k, _, _, n in KINDS])
 
 
+def _joins(a: Column, b: Column) -> Column:
+    """How identifiers are made of two words."""
+    low, high = (F.lower(a), F.lower(b)), (F.initcap(a), F.initcap(b))
+    return F.array(
+        *[F.concat_ws(s, *low) for s in ("_", "-", "/")], F.concat(low[0], high[1]), F.concat(*high), F.upper(F.concat_ws("_", *low)))
+
+
+def _held(word: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lower(word)), F.lit(4)) == 0
+
+
+def identifiers(clean: DataFrame) -> DataFrame:
+    """Distinct values, their counts n, and held: long words, and neighbouring words joined, if both are held out or neither."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))
+    long = clean.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("value"))
+    paired = clean.select(words.alias("w")).select(F.explode(F.arrays_zip(
+        F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("p"))
+    paired = paired.select("p.a", "p.b").where("b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
+    paired = paired.where(_held(F.col("a")) == _held(F.col("b")))
+    joined = paired.select(F.explode(_joins(F.col("a"), F.col("b"))).alias("value"), "n", _held(F.col("a")).alias("held"))
+    rows = long.select("value", F.lit(1).cast("long").alias("n"), _held(F.col("value")).alias("held")).unionByName(joined)
+    return rows.groupBy("value", "held").agg(F.sum("n").alias("n"))
+
+
 def _transitions(strings: DataFrame) -> dict[tuple[str, str], int]:
-    """Counts of neighbouring characters of the alphabet over the column ``value``; at most their number squared."""
-    n = F.char_length("value")
-    at = F.when(n > 1, F.sequence(F.lit(1), n - 1))
-    pairs = strings.select(F.explode(F.transform(at, lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"))
-    counted = pairs.groupBy("pair").agg(F.count("*").alias("n"))
+    """Counts of neighbouring characters of the alphabet over the column ``value``, n times each; at most their number squared."""
+    size = F.char_length("value")
+    at = F.when(size > 1, F.sequence(F.lit(1), size - 1))
+    pairs = strings.select(F.explode(F.transform(at, lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"), "n")
+    counted = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
     known = counted.where(F.col("pair").rlike("^[A-Za-z0-9+/_=.-]{2}$")).collect()
     return {(r["pair"][0], r["pair"][1]): r["n"] for r in known}
 
@@ -117,17 +146,28 @@ def _share(rows: DataFrame, most: int, total: int) -> DataFrame:
     return rows.where(place < int(most / total * (1 << 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_ordinary: int = MAX_ORDINARY) -> list[float]:
-    """The table of log ratios. The labelled ids, of bounded number, are broadcast to the scan of texts."""
+def train(
+    docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_ordinary: int = MAX_ORDINARY,
+) -> tuple[list[float], float]:
+    """The table of log ratios and the least mean. The labelled ids, of bounded number, are broadcast to the scan of texts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().distinct()
     good = known.where("quality = 1").select("doc_id")
     rows = tx.documents(docs)
     labelled = rows.join(F.broadcast(_share(known.select("doc_id").distinct(), max_labelled, known.count())), "doc_id", "left_semi")
     found = base_spans(labelled).select(F.explode(F.concat(*[F.col(k) for k, *_ in KINDS])).alias("s"))
-    random = _transitions(found.select("s.value"))
+    cased = F.explode(F.array(F.col("s.value"), F.upper("s.value"), F.lower("s.value")))
+    random = _transitions(found.select(cased.alias("value"), F.lit(1).alias("n")))
     clean = rows.join(F.broadcast(_share(good, max_ordinary, good.count())), "doc_id", "left_semi")
-    words = clean.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("value"))
-    return log_ratios(random, _transitions(words))
+    names = identifiers(clean)
+    table = log_ratios(random, _transitions(names.where("not held")))
+    size = F.char_length("value")
+    mean = _ratio(F.col("value"), _constant(table)) / (size - 1)
+    worst = names.where(F.col("held") & (size >= 16)).agg(F.percentile_approx(mean, F.lit(1 - FALSE_HITS), F.lit(10000)).alias("m")).first()["m"]
+    return table, max(MIN_MEAN, worst or 0.0)
+
+
+def _constant(table: Iterable[float]) -> Column:
+    return F.from_json(F.lit(json.dumps(list(table))), "array<double>")
 
 
 def _ratio(value: Column, table: Column) -> Column:
@@ -143,9 +183,9 @@ def _ratio(value: Column, table: Column) -> Column:
     return F.transform(F.array(codes), total)[0]  # the codes are bound once
 
 
-def scan(docs: DataFrame, table: Iterable[float]) -> DataFrame:
+def scan(docs: DataFrame, table: Iterable[float], least_mean: float = MIN_MEAN) -> DataFrame:
     """doc_id and one array of spans per kind: the base kinds and ``markov``."""
-    ratios = F.from_json(F.lit(json.dumps(list(table))), "array<double>")
+    ratios = _constant(table)
     rows = base_spans(tx.documents(docs))
     kinds = [k for k, *_ in KINDS]
     rows = rows.select("doc_id", *kinds, _parts(F.col("text"), RUN, 0).alias("_run"))
@@ -155,7 +195,7 @@ def scan(docs: DataFrame, table: Iterable[float]) -> DataFrame:
         apart = ~F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
         capitals = s["value"].rlike("^[A-Z/_=+-]+$")  # identifiers are ordinary in capitals too
         ratio = _ratio(F.when(capitals, F.lower(s["value"])).otherwise(s["value"]), ratios)
-        return s["value"].rlike("[A-Za-z]") & apart & (ratio >= MIN_RATIO) & (ratio >= MIN_MEAN * (F.char_length(s["value"]) - 1))
+        return s["value"].rlike("[A-Za-z]") & apart & (ratio >= MIN_RATIO) & (ratio >= least_mean * (F.char_length(s["value"]) - 1))
 
     return rows.select("doc_id", *kinds, F.filter("_runs", secret).alias("markov"))
 
@@ -173,7 +213,7 @@ def _joined(kinds: Iterable[str]) -> Column:
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per base kind and all spans of every document."""
     docs = tx.table(spark, sf_dir, "documents")
-    rows = scan(docs, train(docs, tx.table(spark, sf_dir, "labels")))
+    rows = scan(docs, *train(docs, tx.table(spark, sf_dir, "labels")))
     kinds = [k for k, *_ in KINDS]
     return rows.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds], F.sha2(_joined(kinds), 256).alias("base_sha256"),

@@ -259,11 +259,16 @@ def test_markov_models_tell_keys_from_names(spark):
     train = docs(spark, *[f'token = "{hashlib.sha256(bytes([i])).hexdigest()[:40]}" plain words follow here' for i in range(60)],
                  *["the configuration_value and another identifier of ordinary wording"] * 60)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
-    table = secret_scan.train(train, labels)
+    table, least = secret_scan.train(train, labels)
     key, name = "9f3ab27c61d0e85f", "another_configuration_identifier"
-    found = secret_scan.scan(docs(spark, f"x {key}zz0 y {name} 1234567890123456"), table).first()["markov"]
+    found = secret_scan.scan(docs(spark, f"x {key}zz0 y {name} 1234567890123456"), table, least).first()["markov"]
     assert [(s["start"], s["stop"]) for s in found] == [(2, 21)]
-    none = secret_scan.train(train.limit(0), labels.limit(0))
+    capitals = [hashlib.sha256(bytes([i, 1])).hexdigest()[:32].upper() for i in range(100)]
+    caught = secret_scan.scan(docs(spark, *[f"key {k} end" for k in capitals]), table, least).where("size(markov) = 1").count()
+    assert caught >= 90
+    names = ["another_identifier_configuration", "ordinary-configuration-wording", "configuration/value/identifier", "OrdinaryConfigurationWording"]
+    assert secret_scan.scan(docs(spark, *names), table, least).where("size(markov) > 0").count() == 0
+    none, _ = secret_scan.train(train.limit(0), labels.limit(0))
     assert all(math.isclose(x, 0.0, abs_tol=1e-12) for x in none)
 
 
