@@ -364,10 +364,11 @@ def link_committees(committees: DataFrame, members: DataFrame) -> DataFrame:
     Both names must occur in the committee name; several fitting members give
     the smallest id. Every substring of a committee name as long as some last
     name is looked up, so the join is on equality and still finds names inside
-    words.
+    words. Members of one name count once, by their smallest id, so the join does
+    not grow with how many share it.
     """
-    m = members.filter("first_name <> '' and last_name <> ''").select(
-        "bioguide_id", F.lower("first_name").alias("first"), F.lower("last_name").alias("last"))
+    m = members.filter("first_name <> '' and last_name <> ''").groupBy(
+        F.lower("first_name").alias("first"), F.lower("last_name").alias("last")).agg(F.min("bioguide_id").alias("bioguide_id"))
     lengths = [r[0] for r in m.select(F.length("last").alias("n")).distinct().orderBy("n").collect()]
     open_ = committees.filter("member_bioguide_id is null").select("fec_committee_id", F.lower("name").alias("text"))
     cut = lambda n: F.when(
@@ -376,7 +377,7 @@ def link_committees(committees: DataFrame, members: DataFrame) -> DataFrame:
     ).otherwise(F.array().cast("array<string>"))
     pieces = F.array_distinct(F.concat(*[cut(n) for n in lengths])) if lengths else F.array().cast("array<string>")
     found = (
-        open_.withColumn("last", F.explode(pieces)).join(m, "last")
+        open_.withColumn("last", F.explode(pieces)).join(m.hint("merge"), "last")  # the members never pass through the driver
         .filter(F.col("text").contains(F.col("first")))
         .groupBy("fec_committee_id").agg(F.min("bioguide_id").alias("_linked")))
     return committees.join(found, "fec_committee_id", "left").withColumn(
