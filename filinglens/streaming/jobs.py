@@ -78,15 +78,20 @@ def stream_clusters(trades: DataFrame, least: int = 3, delay: str = "45 days") -
     """Members per (ticker, type) in seven-day windows sliding by a day.
 
     Event time is the trade; filings arrive up to the delay later. Distinct
-    members are counted exactly in two steps: one row per member, then rows.
+    members are counted exactly: sets of a day, sets of the window, then their sizes.
     """
+    use_rocksdb(trades.sparkSession)
     timed = trades.filter("ticker is not null and member_bioguide_id is not null").withColumn(
         "at", F.to_timestamp("transaction_date")).withWatermark("at", delay)
-    members = timed.groupBy(
-        F.window("at", "7 days", "1 day"), "ticker", "transaction_type", "member_bioguide_id").agg(F.count("*").alias("n"))
+    # members in sets by hash: a state row a set, not one a member; seven days' sets meet, not each trade in seven windows
+    part = F.pmod(F.xxhash64("member_bioguide_id"), F.lit(16))
+    daily = timed.groupBy(F.window("at", "1 day").alias("day"), "ticker", "transaction_type", part.alias("part")).agg(
+        F.collect_set("member_bioguide_id").alias("who"), F.count("*").alias("n"))
+    members = daily.groupBy(F.window("day", "7 days", "1 day"), "ticker", "transaction_type", "part").agg(
+        F.array_distinct(F.flatten(F.collect_list("who"))).alias("who"), F.sum("n").alias("n"))
     return (
         members.groupBy(F.col("window"), "ticker", "transaction_type")
-        .agg(F.count("*").alias("members"), F.sum("n").alias("trades")).filter(F.col("members") >= least)
+        .agg(F.sum(F.size("who").cast("long")).alias("members"), F.sum("n").alias("trades")).filter(F.col("members") >= least)
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "ticker",
                 "transaction_type", "members", "trades"))
 
