@@ -149,22 +149,40 @@ def _expiry_processor():
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
     class Expiry(StatefulProcessor):
-        """Sets a timer at each signal's expiry and reports it when it fires."""
+        """Holds the signals that expire within one hour; a timer at the earliest reports all that are due."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.due = handle.getValueState("due", T.StructType([T.StructField("at", T.LongType())]))
+            self.waiting = handle.getListState("waiting", T.StructType(
+                [T.StructField("signal_id", T.LongType()), T.StructField("at", T.LongType())]))
+
+        def _pending(self) -> list[tuple]:
+            return [(s, at) for s, at in self.waiting.get()] if self.waiting.exists() else []
+
+        def _wait(self, pending: list[tuple]) -> None:
+            if pending:
+                self.waiting.put(pending)
+                self.handle.registerTimer(min(at for _, at in pending))
+            else:
+                self.waiting.clear()
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            pending = dict.fromkeys(self._pending())
             for batch in rows:
-                for at in batch["due_ms"]:
-                    self.due.update((int(at),))
-                    self.handle.registerTimer(int(at))
+                ids = [None if pd.isna(s) else int(s) for s in batch["signal_id"]]
+                pending.update(dict.fromkeys(zip(ids, batch["due_ms"].astype("int64").tolist())))
+            self._wait(list(pending))
             yield pd.DataFrame({"signal_id": pd.Series([], dtype="int64"), "expired_ms": pd.Series([], dtype="int64")})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            self.due.clear()
-            yield pd.DataFrame({"signal_id": [key[0]], "expired_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
+            now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+            pending = self._pending()
+            due = [(s, at) for s, at in pending if at <= now]
+            if due:  # an earlier timer of this batch may have reported them
+                self._wait([(s, at) for s, at in pending if at > now])
+            yield pd.DataFrame({
+                "signal_id": pd.Series([s for s, _ in due], dtype="Int64"),
+                "expired_ms": pd.Series([at for _, at in due], dtype="int64")})
 
         def close(self) -> None:
             pass
@@ -176,12 +194,15 @@ def stream_expiry(signals: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """(signal_id, expired_ms) once event time has passed a signal's expiry.
 
     Event time is the creation time of the signals seen. A signal that arrives
-    already expired is reported with the next batch.
+    already expired is reported with the next batch. State and timers are kept
+    per hour of expiry, in parts by hash, not per signal.
     """
     use_rocksdb(signals.sparkSession)
+    due = F.unix_millis("expires_at")
     timed = signals.filter("is_active and expires_at is not null").select(
-        "signal_id", "created_at", F.unix_millis("expires_at").alias("due_ms")).withWatermark("created_at", delay)
-    return timed.groupBy("signal_id").transformWithStateInPandas(
+        "signal_id", "created_at", due.alias("due_ms"), F.floor(due / 3_600_000).alias("hour"),
+        F.pmod(F.xxhash64("signal_id"), F.lit(16)).alias("part")).withWatermark("created_at", delay)
+    return timed.groupBy("hour", "part").transformWithStateInPandas(
         statefulProcessor=_expiry_processor(), outputStructType="signal_id long, expired_ms long",
         outputMode="Append", timeMode="EventTime")
 
