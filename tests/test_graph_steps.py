@@ -73,3 +73,8 @@ def test_edges_are_stored_once(spark, tmp_path):
     assert row(edges, *graph.EDGE_COLUMNS) == row(plain_edges, *graph.EDGE_COLUMNS) != []
     assert row(nodes, "type", "id") == row(plain_nodes, "type", "id")
     assert len(kept) == 1 and edges.inputFiles() and all(f"{tmp_path}/0/" in f for f in edges.inputFiles())
+
+
+def test_merged_shuffle_partitions_stay_small(spark, tmp_path):
+    Tables(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "4MB"
