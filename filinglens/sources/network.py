@@ -36,20 +36,23 @@ def normalise_lobbying(raw: DataFrame, filing_year: int) -> DataFrame:
     first record; the amount is the income, else the expenses.
     """
     acts = F.coalesce("lobbying_activities", F.from_json(F.lit("[]"), raw.schema["lobbying_activities"].dataType))
-    filled = lambda a: F.filter(a, lambda x: _s(x) != "")
-    issues = filled(F.transform(acts, lambda a: a["description"]))
-    codes = filled(F.transform(acts, lambda a: a["general_issue_code"]))
+    issues = F.filter(acts["description"], lambda x: x != "")
+    blank = F.array(F.lit(""), F.lit(None).cast("string"))
+    distinct = lambda a: F.sort_array(F.array_except(a, blank))
     empty = lambda kind: F.array().cast(f"array<{kind}>")
-    entities = filled(F.flatten(F.transform(acts, lambda a: F.coalesce(
-        F.transform(a["government_entities"], lambda e: e["name"]), empty("string")))))
-    person = lambda l: F.struct(
-        X.lobbyist_name(l["lobbyist"]["first_name"], l["lobbyist"]["last_name"], l["lobbyist"]["prefix"]).alias("name"),
-        F.nullif(l["covered_official_position"], F.lit("")).alias("covered_position"),
-        X.former_flags(l["covered_official_position"])["is_former_congress"].alias("is_former_congress"),
-        X.former_flags(l["covered_official_position"])["is_former_executive"].alias("is_former_executive"))
+    entities = F.flatten(F.transform(acts, lambda a: F.coalesce(a["government_entities"]["name"], empty("string"))))
+
+    def person(l):
+        """The record; a lambda binds the lower-case position, or every word would make it again."""
+        return F.transform(F.array(X.position_text(l["covered_official_position"])), lambda text: F.struct(
+            X.lobbyist_name(l["lobbyist"]["first_name"], l["lobbyist"]["last_name"], l["lobbyist"]["prefix"]).alias("name"),
+            F.nullif(l["covered_official_position"], F.lit("")).alias("covered_position"),
+            X.flags_of(text)["is_former_congress"].alias("is_former_congress"),
+            X.flags_of(text)["is_former_executive"].alias("is_former_executive")))[0]
+
     kind = "struct<name string, covered_position string, is_former_congress boolean, is_former_executive boolean>"
     people = F.flatten(F.transform(acts, lambda a: F.coalesce(F.transform(a["lobbyists"], person), empty(kind))))
-    names = F.transform("_people", lambda p: p["name"])
+    names = F.col("_people")["name"]
     first_only = F.filter("_people", lambda p, i: F.array_position(names, p["name"]) == i + 1)
     money = lambda c: F.regexp_replace(c, r"[$,]", "").try_cast("double")
     amount = F.when(_s(F.col("income")) != "", money("income")).when(_s(F.col("expenses")) != "", money("expenses"))
@@ -65,8 +68,8 @@ def normalise_lobbying(raw: DataFrame, filing_year: int) -> DataFrame:
             F.struct(_s(F.col("client.name")).alias("name"), F.col("client.general_description").alias("description"),
                      F.col("client.country").alias("country"), F.col("client.state").alias("state")).alias("client"),
             first_only.alias("lobbyists"), F.col("_issues").alias("specific_issues"),
-            F.array_sort(F.array_distinct(codes)).alias("general_issue_codes"),
-            F.array_sort(F.array_distinct(entities)).alias("government_entities"),
+            distinct(acts["general_issue_code"]).alias("general_issue_codes"),
+            distinct(entities).alias("government_entities"),
             F.flatten(F.transform("_issues", X.bill_refs)).alias("lobbied_bills"))
     )
 
