@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from filinglens.learn import anomaly, folds, models
 from filinglens.operators.ordinal import day_starts, row_positions
+from filinglens.session import durable
 
 
 def _trades(spark, n=2400):
@@ -18,7 +19,7 @@ def _trades(spark, n=2400):
 @pytest.mark.parametrize("n", [1, 2, 5, 7])
 def test_cut_rows_split_like_positions(spark, n):
     df = _trades(spark)
-    exact, cut = folds.positioned(df), folds.cut_rows(df, n)
+    exact, cut = folds.positioned(df), folds.cut_rows(df, n, durable)
     found = folds.purged_folds(exact, n)
     assert found and folds.purged_folds(cut, n) == found
     members = [{tuple(r) for r in folds.fold_rows(rows, found).select("fold", "role", "trade_id").collect()} for rows in (exact, cut)]
@@ -34,10 +35,12 @@ def test_positions_of_whole_days(spark):
     days = day_starts(df, "transaction_date")
     part = row_positions(df.filter(some), "transaction_date", "trade_id", days)
     assert {tuple(r) for r in part.select("trade_id", "_pos").collect()} == whole
+    # rows without a day come first and have no position
+    assert row_positions(df, "transaction_date", "trade_id").agg(F.min("_pos"), F.count("*")).first() == (2, 2400)
 
 
 def test_no_rows_no_folds(spark):
-    rows = folds.cut_rows(_trades(spark).filter("trade_id < 0"), 3)
+    rows = folds.cut_rows(_trades(spark).filter("trade_id < 0"), 3, durable)
     assert rows.count() == 0 and folds.purged_folds(rows, 3) == []
 
 
