@@ -47,3 +47,22 @@ def test_hearings_are_gathered_once_per_committee_set(spark):
     # both members ask for one list: it is keyed by their committees, not by the member
     sets, codes = dayrange.committee_sets(_seats(spark), F.col("committee_code"))
     assert sets.filter("member_bioguide_id in ('m', 'n')").select("_set").distinct().count() == 1 and codes.count() == 3
+
+
+def test_bill_figures_need_no_lists(spark):
+    codes = ["hsba", "ssaf", "hsag"]
+    bills = spark.createDataFrame(
+        [(f"b{i * 7 % 40:02d}", f"T{i % 3}", D + timedelta(days=i * 37 % 400 - 200), None, ["m", "n", None][i % 3], [(codes[i % 3] + "00",), (codes[i % 2] + "05",)])
+         for i in range(150)],
+        "bill_id string, title string, introduced_date date, policy_area string, sponsor_bioguide_id string, committees array<struct<code string>>")
+    trades = spark.createDataFrame([(i, ["m", "n", "o"][i % 3], D + timedelta(days=i * 13 % 300 - 150)) for i in range(60)], TRADE)
+    df = dayrange.context_bills(trades, _seats(spark), bills, 90)
+    figures = ["n_bills", "sum_distance_days", "min_bill_distance_days", "first_bill_id", "has_sponsored_bill"]
+    for r in df.collect():
+        listed = r.nearby_bills
+        away = [b.distance_days for b in listed or []]
+        assert [r[c] for c in figures] == ([len(away), sum(away), min(map(abs, away)), min(b.bill_id for b in listed), any(
+            b.is_sponsor for b in listed)] if listed else [None] * 5)
+    assert df.filter("n_bills is not null").count() > 40
+    plan = lambda *c: df.select("trade_id", *c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan("nearby_bills") and "collect_list" not in plan(*figures)
