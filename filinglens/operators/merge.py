@@ -7,7 +7,7 @@ so repeated keys never gather in one task uncombined.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,6 +29,22 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], last
         *[c if c in keys else F.col(f"_v.{c}").alias(c) for c in df.columns])
 
 
+def first_of_repeated(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """``first_per_key`` for keys that seldom repeat.
+
+    The repeated keys are found first and written out by ``keep``, so their size is
+    known when the joins are planned: a row whose key is its own is not moved.
+    """
+    seen = keep(df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter("_rows > 1").select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys]))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(seen, same, "left_anti").unionByName(first_per_key(df.join(seen, same, "left_semi"), keys, order))
+
+
 def new_rows(target: DataFrame, staged: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Staged rows that an insert-if-absent would add.
 
@@ -69,16 +85,17 @@ def upsert(
     ])
 
 
-def split_lobbying(filings: DataFrame) -> dict[str, DataFrame]:
+def split_lobbying(filings: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """Nested lobbying filings to registrant, client, filing and lobbyist tables.
 
     Surrogate keys are hashes of the natural keys. A registrant takes its last
-    name, a client and a filing keep their first record, by (date, uuid).
+    name, a client and a filing keep their first record, by (date, uuid). All four
+    read the filings as ``keep`` writes them out.
     """
     order = ["filing_date", "filing_uuid"]
     rid = F.when(F.col("registrant.senate_id") != "", F.xxhash64("registrant.senate_id"))
     cid = F.when(F.col("client.name") != "", F.xxhash64("client.name"))
-    f = filings.withColumn("registrant_id", rid).withColumn("client_id", cid)
+    f = keep(filings.withColumn("registrant_id", rid).withColumn("client_id", cid))
     registrants = first_per_key(
         f.filter("registrant_id is not null").select(
             F.col("registrant_id").alias("id"), "registrant.senate_id", "registrant.name", "registrant.description",
@@ -89,7 +106,7 @@ def split_lobbying(filings: DataFrame) -> dict[str, DataFrame]:
             F.col("client_id").alias("id"), "client.name", "client.description", "client.country", "client.state",
             *order),
         ["id"], order).drop(*order)
-    one = first_per_key(f, ["filing_uuid"], order).withColumn("id", F.xxhash64("filing_uuid"))
+    one = first_of_repeated(f, ["filing_uuid"], order, keep).withColumn("id", F.xxhash64("filing_uuid"))
     rows = one.select(
         "id", "filing_uuid", "filing_type", "filing_year", "filing_period", "filing_date", "amount", "registrant_id",
         "client_id", F.col("registrant.name").alias("registrant_name"), F.col("client.name").alias("client_name"),

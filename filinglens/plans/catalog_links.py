@@ -8,6 +8,7 @@ from .. import constants as K
 from ..functions import text as X
 from ..operators import merge, resolve
 from ..operators.keyed_table import KeyedTable
+from ..session import Scratch
 from ..streaming.jobs import new_folder
 from .catalog_sources import HTML_SQL, normalised_lobbying
 from .registry import R, S, flat, query
@@ -250,7 +251,7 @@ def _(t):
     UNION ALL SELECT 'lobbyist', 2 * count(*) FROM filings
     UNION ALL SELECT 'registrant', count(DISTINCT registrant_id) FROM filings""")
 def _(t):
-    parts = merge.split_lobbying(normalised_lobbying(t))
+    parts = merge.split_lobbying(normalised_lobbying(t), Scratch(t.spark, "lobbying").keep)
     linked = (
         parts["filing"].join(parts["client"].select(F.col("id").alias("client_id")), "client_id")
         .join(parts["registrant"].select(F.col("id").alias("registrant_id")), "registrant_id"))
